@@ -1,0 +1,23 @@
+"""Queries over the journal that the events table stands for."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq from 1, block index, operation (1 set, 2 delete), content (null when deleted), timestamp."""
+    dead = F.col("event_type") == "error"
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        (F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("block_index"), F.when(dead, 2).otherwise(1).alias("op"), F.when(~dead, F.col("props")).alias("data"), "ts"
+    )
+
+
+def replay_by_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = journal(spark, sf_dir)
+    last = rows.groupBy("block_index").agg(F.max_by(F.struct("op", "data", "seq"), "seq").alias("last"))
+    return last.where("last.op = 1").select("block_index", F.col("last.data").alias("data"), F.col("last.seq").alias("seq"))
+
+
+QUERIES = {"replay_by_sequence": replay_by_sequence}
+SQL = {"replay_by_sequence": "SELECT user_id AS block_index, props AS data, event_id + 1 AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"}
