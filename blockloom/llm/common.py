@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.float64))
         start, held = 0, 0.0
         for i, n in enumerate(sizes):
             if i > start and held + n > max_bytes:
