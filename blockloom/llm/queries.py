@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold a QUERY (name, function) and perhaps an ORACLE_SQL.
-MODULES = ("media", "substrings", "langid", "quality_rules", "pii", "minhash")
+MODULES = ("media", "substrings", "packing", "langid", "quality_rules", "pii", "minhash")
 
 
 def queries() -> dict:
