@@ -70,11 +70,13 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _TABLES:
+    """Powers of PHI and of its inverse, n at least; grown by whole steps, one pair kept."""
+    have = next(iter(_TABLES), 0)
+    if have < n:
+        size = -(-n // (1 << 20)) << 20
         _TABLES.clear()
         _TABLES[size] = powers(size), powers(size, np.uint64(pow(int(PHI), -1, 1 << 64)))
-    return _TABLES[size]
+    return next(iter(_TABLES.values()))
 
 
 SPACE = np.zeros(256, dtype=bool)

@@ -40,9 +40,10 @@ K = 50
 M = 5
 HOT_SHARE = 2048
 FINE = 1 << 16
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 PACK_BYTES = 1 << 18
 HELD_BYTES = 32 << 20
+BLOCK = 8000
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -195,7 +196,7 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
             sizes.pop(b)
             return row(b, np.array(places, dtype=np.int64), b"\n".join(texts))
 
-        for number, batch in enumerate(pieces(batches, "text", 16 << 20)):
+        for number, batch in enumerate(pieces(batches, "text", 8 << 20)):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             cut = Cut(utf8(batch.column("text")), k, m)
             if not len(cut.doc):
@@ -250,11 +251,15 @@ def _counting(n: np.ndarray) -> np.ndarray:
 
 def _judge(k: int, chunk: int):
     def settle(texts: list[bytes], places: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-        data, at = joined(texts)
-        starts, ends = spans(data)
-        words = word_hashes(data, starts, ends)
-        bounds = np.searchsorted(starts, at)
-        per = np.diff(bounds) - k + 1
+        hashes, numbers = [], []
+        for a in range(0, len(texts), BLOCK):  # few bytes at a time; only the words' hashes stay
+            data, at = joined(texts[a : a + BLOCK])
+            starts, ends = spans(data)
+            hashes.append(word_hashes(data, starts, ends))
+            numbers.append(np.diff(np.searchsorted(starts, at)))
+        words, per = np.concatenate(hashes), np.concatenate(numbers)
+        bounds = np.cumsum(per) - per
+        per = per - k + 1
         text, owner, first = places.T
         n = per[text]
         place = _counting(n)
@@ -304,7 +309,7 @@ def _judge(k: int, chunk: int):
 
 def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = np.array(sorted(hot_minimisers(df, k, m)), dtype=np.int64).view(np.uint64)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
     found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
