@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold a QUERY (name, function) and perhaps an ORACLE_SQL.
-MODULES = ("pieces_viterbi", "media", "substrings", "packing", "langid", "quality_rules", "quality_lm", "pii", "minhash")
+MODULES = ("pieces_viterbi", "media", "substrings", "packing", "langid", "quality_rules", "quality_lm", "pii", "minhash", "suffixes")
 
 
 def queries() -> dict:
