@@ -6,9 +6,10 @@ perms evaluations. `bands` bands of `rows` values propose candidates; a link nee
 on the full sets. With 80 permutations, 32 bands of 5, a pair at 0.8 is missed with probability 3e-6, at 0.85 with 1e-8.
 
 How links are found without all pairs of a bucket: equal sets are one node (the least id). In each bucket every member is
-first compared with three hubs (least id, greatest id, least hash of the id) and linked members become components. Only
-where a bucket still holds members of different components are these compared pairwise, across components, each pair once,
-if their sizes allow the similarity at all. No link between different components of a bucket is left unchecked.
+first compared with three hubs (least id, greatest id, least hash of the id) and linked members become components. Where a
+bucket still holds members of different components, its members go through an exact prefix and position filter
+(`possible`) that leaves next to no pairs below the threshold; what passes is compared too. No link between candidates of
+different components is left unchecked.
 
 Scale: the texts are shuffled once, compressed, and only for candidates; buckets, links and components are tables of ids.
 Hot keys (a large group of copies, a hub) sit on the side of sort-merge joins that adaptive execution may split.
@@ -34,6 +35,7 @@ from .components import components
 WIDTH = 4
 PERCENT = 80
 PERMS, BANDS, ROWS = 80, 32, 5
+SLOTS = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -141,6 +143,62 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return two.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
 
 
+def _unpacked_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    unzip, zs = zstandard.ZstdDecompressor(), batch.column("z").to_pylist()
+    return [x for i in range(0, len(zs), 500) for x in shingle_sets([unzip.decompress(z) for z in zs[i : i + 500]], width)]
+
+
+def possible(nodes: DataFrame, width: int, percent: int, slots: int = SLOTS) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes (node, component, z) of different components that may be similar enough: an exact filter.
+
+    Every set is put in one order, rare shingles first (counts by hash slot, `slots` numbers at most, are broadcast). Sets that
+    are similar enough share a shingle among the first of both, and the first such one leaves enough of both sets behind it.
+    Members of a group that each have words of their own fail that at once, so groups do not turn into pairs.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            for s in _unpacked_sets(batch, width):
+                np.add.at(held, (s % np.uint64(slots)).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["slot", "n"])
+
+    seen = nodes.select("z").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(slots, dtype=np.int64)
+    counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                tokens, sizes, places = [], [], []
+                sets = _unpacked_sets(batch, width)
+                for s in sets:
+                    n = len(s)
+                    p = n - -(-percent * n // 100) + 1
+                    best = np.lexsort((s, order[(s % np.uint64(slots)).astype(np.int64)]))[:p]
+                    tokens.append(s[best].view(np.int64))
+                    sizes.append(len(best))
+                    places.append(np.arange(len(best)))
+                take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                columns = [pa.array(np.concatenate(tokens)), batch.column("node").take(take), batch.column("component").take(take), pa.array(np.repeat([len(s) for s in sets], sizes), pa.int64()), pa.array(np.concatenate(places), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "n", "place"])
+
+    rows = table(nodes.mapInArrow(first, "token long, node long, component long, n long, place long"), "op9-first")
+    x = rows.alias("x")  # the larger set
+    y = rows.where(F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")).alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return x.join(
+        y,
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.node") < F.col("x.node"))))
+        & (100 * F.col("y.n") >= percent * F.col("x.n")) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n"))),
+    ).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of (doc_id, text)."""
     sk = table(sketches(df, width, perms, bands, rows), "op9-sketches")
@@ -165,10 +223,9 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, p
     tagged = members.select("key", "node", "n").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tagged = table(tagged, "op9-tagged")
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = table(tagged.join(mixed, "key", "left_semi"), "op9-open")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & able(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    left = tagged.join(mixed, "key", "left_semi").select("node", "component").distinct()
+    left = table(left.join(texts, F.col("node") == texts["doc_id"]).select("node", "component", "z"), "op9-open")
+    across = table(possible(left, width, percent).join(stars, ["a", "b"], "left_anti"), "op9-across")
     more = table(confirmed(across, texts, width, percent), "op9-more")
     if not more.isEmpty():
         of = components(links.union(more), "a", "b")
