@@ -38,11 +38,13 @@ def shard_by_index(index: Column, alive: list[bool], tries: int = 16) -> Column:
         raise ValueError("no server is alive")
     up = F.array(*map(F.lit, alive))
     home = index % n
-    found = F.raise_error(F.lit("no live server found")).cast("bigint")
-    for t in reversed(range(tries)):
-        at = jump_hash(index + t, n)
-        found = F.when(F.get(up, at.cast("int")), at).otherwise(found)
-    return F.when(F.get(up, home.cast("int")), home).otherwise(found)
+
+    def step(found: Column, t: Column) -> Column:
+        again = F.transform(F.array(jump_hash(index + t, n)), lambda at: F.when(F.get(up, at.cast("int")), at).otherwise(-1))[0]
+        return F.when(found >= 0, found).otherwise(again)
+
+    other = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(-1).cast("bigint"), step, lambda at: F.when(at >= 0, at).otherwise(F.raise_error(F.lit("no live server found")).cast("bigint")))
+    return F.when(F.get(up, home.cast("int")), home).otherwise(other)
 
 
 def shard_by_hash(hex_digest: Column, servers: int) -> Column:

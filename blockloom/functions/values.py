@@ -41,7 +41,7 @@ def server_fields(text: Column) -> Column:
 
 def server_list(text: Column) -> Column:
     """A comma-separated list; blanks and empty entries are dropped."""
-    return F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), server_fields)
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), server_fields)
 
 
 def valid_block_size(size: Column) -> Column:
