@@ -156,7 +156,7 @@ class Model:
                         if self._fits(last[start], piece):
                             found, top = piece, 0.0
                             break
-                    elif top is None or best[start] + score[i] > top:
+                    elif top is None or best[start] + score[i] >= top:  # ties go to the longer piece
                         found, top = piece, best[start] + score[i]
                 if not bpe and (one := best[end - 1] + self.lost) and word[end - 1] not in id_of and (top is None or one > top):
                     found, top = word[end - 1], one

@@ -15,7 +15,8 @@ of each window matters, and that lets almost everything be settled before it mov
 
 Skew: exact copies and passages shared by many documents are equal super-k-mers, of which a bucket gets one from each batch
 at most. Windows that reach over the edge of a shared passage differ from document to document but share its minimiser. A
-minimiser with over 1/`HOT_SHARE` of all super-k-mers (so HOT_SHARE of them at most, which bounds the list) is therefore
+minimiser with more than half a bucket's fair share of all super-k-mers (so two of them a bucket at most, which bounds the
+list by the number of partitions) is therefore
 left out of the buckets: its windows travel singly, as 128-bit hashes, and are settled by a window function over the
 hash, which spreads them. A bucket that holds more than `CHUNK` windows hands its windows on in the same form.
 
@@ -38,12 +39,12 @@ from .common import MIX_1, PHI, _tables, documents, gram_hashes, joined, mix, pi
 
 K = 50
 M = 5
-HOT_SHARE = 2048
+HOT_SHARE = 2
 FINE = 1 << 16
 CHUNK = 3_000_000
 PACK_BYTES = 1 << 18
-HELD_BYTES = 32 << 20
-BLOCK = 8000
+HELD_BYTES = 16 << 20
+BLOCK = 4000
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,8 +123,8 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
-def hot_minimisers(df: DataFrame, k: int, m: int) -> list[int]:
-    """Minimisers that hold over 1/HOT_SHARE of all super-k-mers; at most HOT_SHARE, whatever the input.
+def hot_minimisers(df: DataFrame, k: int, m: int, buckets: int) -> list[int]:
+    """Minimisers that hold over 1/HOT_SHARE of a bucket's fair share of super-k-mers; at most HOT_SHARE a bucket, whatever the input.
 
     Counts go through FINE classes first (a bounded number of rows a task); only minimisers of heavy classes are counted singly.
     """
@@ -138,7 +139,7 @@ def hot_minimisers(df: DataFrame, k: int, m: int) -> list[int]:
 
     counted = table(_rows(df).mapInArrow(classes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op3-classes")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(1000, total // (HOT_SHARE * buckets))
     heavy = {r.key for r in counted.where(F.col("n") > limit).collect()}
     if not heavy:
         return []
@@ -196,7 +197,7 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
             sizes.pop(b)
             return row(b, np.array(places, dtype=np.int64), b"\n".join(texts))
 
-        for number, batch in enumerate(pieces(batches, "text", 8 << 20)):
+        for number, batch in enumerate(pieces(batches, "text")):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             cut = Cut(utf8(batch.column("text")), k, m)
             if not len(cut.doc):
@@ -309,8 +310,8 @@ def _judge(k: int, chunk: int):
 
 def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
-    buckets = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = np.array(sorted(hot_minimisers(df, k, m)), dtype=np.int64).view(np.uint64)
+    buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = np.array(sorted(hot_minimisers(df, k, m, buckets)), dtype=np.int64).view(np.uint64)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
     found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")

@@ -14,8 +14,9 @@ bucket sees in one string only, at one place, has no repeats. What remains goes
   apart: that is the common prefix length, h - 2 or h - 1. Rows alone between two borders can't repeat and leave.
   At depth k the intervals left are the repeated windows. No suffix of the union is compared or sorted anew.
 
-Skew: a bucket gets a shared passage once from each batch. A minimiser with over 1/`HOT_SHARE` of all strings (HOT_SHARE of
-them at most) is left out of the buckets, and its windows travel singly, as 128-bit hashes, to be counted by a shuffle
+Skew: a bucket gets a shared passage once from each batch. A minimiser with more than half a bucket's fair share of all
+strings (two of them a bucket at most, which bounds the list by the number of partitions) is left
+out of the buckets, and its windows travel singly, as 128-bit hashes, to be counted by a shuffle
 that spreads them; a bucket with more than `CHUNK` bytes hands its windows on likewise. Documents meet their runs of
 removed windows in one join by id.
 
@@ -42,7 +43,7 @@ M = 24
 CHUNK = 96 << 20
 SHARD = 1 << 20
 PACK_BYTES = 1 << 18
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 
 
 def _grams(data: np.ndarray, m: int) -> np.ndarray:
@@ -163,7 +164,7 @@ def merged_repeats(data: np.ndarray, shards: list[np.ndarray], k: int) -> np.nda
     return row
 
 
-def _hot(df: DataFrame, k: int, m: int) -> np.ndarray:
+def _hot(df: DataFrame, k: int, m: int, buckets: int) -> np.ndarray:
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(FINE, dtype=np.int64)
         for batch in pieces(batches, "text"):
@@ -173,7 +174,7 @@ def _hot(df: DataFrame, k: int, m: int) -> np.ndarray:
 
     counted = table(_rows(df).mapInArrow(classes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op10-classes")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(1000, total // (HOT_SHARE * buckets))
     listed = np.array(sorted(r.key for r in counted.where(F.col("n") > limit).collect()), dtype=np.uint64)
     if not len(listed):
         return listed
@@ -205,7 +206,7 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
             sizes.pop(b)
             return row(b, np.array(numbers, dtype=np.int64).tobytes(), b"".join(texts), None)
 
-        for number, batch in enumerate(pieces(batches, "text", 4 << 20)):
+        for number, batch in enumerate(pieces(batches, "text")):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             cut = Cut(utf8(batch.column("text")), k, m)
             if not len(cut.doc):
@@ -317,7 +318,7 @@ def _judge(k: int, chunk: int, shard: int):
 def repeated_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first byte, that also start somewhere else."""
     buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _rows(df).mapInArrow(_packer(k, m, buckets, _hot(df, k, m)), ROW)
+    packed = _rows(df).mapInArrow(_packer(k, m, buckets, _hot(df, k, m, buckets)), ROW)
     found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk, shard), RANGE), "op10-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
     n = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))
