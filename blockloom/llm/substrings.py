@@ -40,7 +40,6 @@ from .common import MIX_1, PHI, _tables, documents, gram_hashes, joined, mix, pi
 K = 50
 M = 5
 HOT_SHARE = 2
-FINE = 1 << 16
 CHUNK = 3_000_000
 PACK_BYTES = 1 << 18
 HELD_BYTES = 16 << 20
@@ -123,36 +122,25 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
-def hot_minimisers(df: DataFrame, k: int, m: int, buckets: int) -> list[int]:
-    """Minimisers that hold over 1/HOT_SHARE of a bucket's fair share of super-k-mers; at most HOT_SHARE a bucket, whatever the input.
+def hot_minimisers(df: DataFrame, minimisers, buckets: int) -> np.ndarray:
+    """Minimisers that hold over 1/HOT_SHARE of a bucket's fair share of strings, sorted; minimisers(texts) gives those of a batch.
 
-    Counts go through FINE classes first (a bounded number of rows a task); only minimisers of heavy classes are counted singly.
+    A task reports its own frequent ones (at most 2 * HOT_SHARE * buckets), so the driver sees a bounded list. Which minimisers
+    are listed decides where windows are compared, never what is found.
     """
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(FINE, dtype=np.int64)
-        for batch in pieces(batches, "text"):
-            cut = Cut(utf8(batch.column("text")), k, m)
-            held += np.bincount((cut.mini % np.uint64(FINE)).astype(np.int64), minlength=FINE)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["key", "n"])
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [minimisers(utf8(batch.column("text"))) for batch in pieces(batches, "text")]
+        if not found:
+            return
+        mini, n = np.unique(np.concatenate(found), return_counts=True)
+        often = n >= max(2, n.sum() // (2 * HOT_SHARE * buckets))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *signed(mini[often]).tolist()], pa.int64()), pa.array([n.sum(), *n[often]], pa.int64())], ["mini", "n"])
 
-    counted = table(_rows(df).mapInArrow(classes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op3-classes")
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    counted = table(_rows(df).mapInArrow(frequent, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")), "hot-minimisers")
+    total = counted.where("mini IS NULL").agg(F.sum("n")).first()[0] or 0
     limit = max(1000, total // (HOT_SHARE * buckets))
-    heavy = {r.key for r in counted.where(F.col("n") > limit).collect()}
-    if not heavy:
-        return []
-    listed = np.array(sorted(heavy), dtype=np.uint64)
-
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            cut = Cut(utf8(batch.column("text")), k, m)
-            mini, n = np.unique(cut.mini[np.isin(cut.mini % np.uint64(FINE), listed)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mini), pa.int64()), pa.array(n, pa.int64())], ["mini", "n"])
-
-    single = _rows(df).mapInArrow(singly, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    return [r.mini for r in single.where(F.col("n") > limit).collect()]
+    return np.array(sorted(r.mini for r in counted.where(F.col("mini").isNotNull() & (F.col("n") > limit)).collect()), dtype=np.int64).view(np.uint64)
 
 
 RANGE = "doc_id long, first long, n long, w1 long, w2 long"
@@ -311,7 +299,7 @@ def _judge(k: int, chunk: int):
 def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
     buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = np.array(sorted(hot_minimisers(df, k, m, buckets)), dtype=np.int64).view(np.uint64)
+    hot = hot_minimisers(df, lambda texts: Cut(texts, k, m).mini, buckets)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
     found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX_1, PHI, _tables, documents, joined, mix, pieces, table, utf8
-from .substrings import FINE, HOT_SHARE, RANGE, _counting, _merged, _ranges, _rows, _window_min, signed, with_runs
+from .substrings import RANGE, _counting, _merged, _ranges, _rows, _window_min, hot_minimisers, signed, with_runs
 
 K = 400
 M = 24
@@ -59,7 +59,7 @@ def _grams(data: np.ndarray, m: int) -> np.ndarray:
 class Cut:
     """The strings of a batch of texts, as arrays: `doc` (row), `first` (byte in the document), `n` (windows), `mini`, `inner` (its gram occurs twice or more), `start` (byte in `data`)."""
 
-    def __init__(self, texts: list[bytes], k: int, m: int):
+    def __init__(self, texts: list[bytes], k: int, m: int, inner: bool = True):
         self.data, at = joined(texts)
         self.k = k
         n_win = len(self.data) - k + 1
@@ -84,6 +84,8 @@ class Cut:
         self.start, self.n, self.mini = begin, n, mini[begin]
         self.doc = np.searchsorted(at, begin, side="right") - 1
         self.first = begin - at[self.doc]
+        if not inner:
+            return
         # places of the minimising gram in each string
         span = n + k - m
         total = np.zeros(len(begin), dtype=np.int64)
@@ -124,69 +126,52 @@ def window_keys(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 def suffix_order(data: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
     """The given suffixes of one shard, sorted by their first `depth` bytes at least (prefix doubling; past the end counts least)."""
     n = len(data)
+    wide = np.zeros(n + 8, dtype=np.uint64)
+    wide[:n] = data
+    eight = np.zeros(n, dtype=np.uint64)
+    for i in range(8):
+        eight |= wide[i : i + n] << np.uint64(56 - 8 * i)
     rank = np.zeros(n + 1, dtype=np.int64)
-    rank[:n] = data.astype(np.int64) + 1
-    h = 1
-    while h < depth:
-        pair = rank[:n] * (n + 258)
+    distinct, rank[:n] = np.unique(eight, return_inverse=True)
+    h = 8
+    while h < depth and len(distinct) < n:
+        rank[:n] += 1
+        pair = rank[:n] * (n + 2)
         pair[: max(0, n - h)] += rank[h:n] if h < n else 0
         distinct, rank[:n] = np.unique(pair, return_inverse=True)
-        rank[:n] += 1
-        if len(distinct) == n:
-            break
         h *= 2
     return rows[np.argsort(rank[rows], kind="stable")]
 
 
-def merged_repeats(data: np.ndarray, shards: list[np.ndarray], k: int) -> np.ndarray:
-    """Starts of the windows of k bytes that another start shares.
+def merged_repeats(data: np.ndarray, shards: list[np.ndarray], group: np.ndarray, k: int) -> np.ndarray:
+    """Starts of the windows of k bytes that another start of the same group shares.
 
     shards: for each, its rows in suffix order: a row is the byte after a window, whose k preceding bytes exist.
+    group: of each byte; windows of different groups differ (they have different minimisers), so the groups are merged side by side.
     """
     row = np.concatenate(shards)
-    interval = np.zeros(len(row), dtype=np.int64)
+    row = row[np.argsort(group[row - 1], kind="stable")]
+    held = (group[row - 1].astype(np.int64) << 32) | row  # interval and row in one number, so that a pass moves both at once
+    before = np.zeros(len(data) + 1, dtype=np.uint16)  # the two bytes before each byte: the transform's symbol
+    before[1:] = data
+    before[2:] |= data[:-1].astype(np.uint16) << np.uint16(8)
     depth = 0
-    while depth < k and len(row):
+    while depth < k and len(held):
         step = 2 if k - depth >= 2 else 1
-        symbol = data[row - 1].astype(np.uint16)
-        if step == 2:
-            symbol |= data[row - 2].astype(np.uint16) << np.uint16(8)
+        symbol = before[held & 0xFFFFFFFF]
+        if step == 1:
+            symbol &= np.uint16(255)
         order = np.argsort(symbol, kind="stable")
-        symbol, before = symbol[order], interval[order]
-        row = row[order] - step
-        border = np.ones(len(row) + 1, dtype=bool)
-        border[1:-1] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
+        symbol, held = symbol[order], held[order]
+        interval = held >> 32
+        border = np.ones(len(held) + 1, dtype=bool)
+        border[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
         stay = ~(border[:-1] & border[1:])
-        interval = np.cumsum(border[:-1])
+        held = (np.cumsum(border[:-1]) << 32) | ((held & 0xFFFFFFFF) - step)
         if not stay.all():
-            row, interval = row[stay], interval[stay]
+            held = held[stay]
         depth += step
-    return row
-
-
-def _hot(df: DataFrame, k: int, m: int, buckets: int) -> np.ndarray:
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(FINE, dtype=np.int64)
-        for batch in pieces(batches, "text"):
-            held += np.bincount((Cut(utf8(batch.column("text")), k, m).mini % np.uint64(FINE)).astype(np.int64), minlength=FINE)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["key", "n"])
-
-    counted = table(_rows(df).mapInArrow(classes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "op10-classes")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // (HOT_SHARE * buckets))
-    listed = np.array(sorted(r.key for r in counted.where(F.col("n") > limit).collect()), dtype=np.uint64)
-    if not len(listed):
-        return listed
-
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            found = Cut(utf8(batch.column("text")), k, m).mini
-            mini, n = np.unique(found[np.isin(found % np.uint64(FINE), listed)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mini), pa.int64()), pa.array(n, pa.int64())], ["mini", "n"])
-
-    single = _rows(df).mapInArrow(singly, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    return np.array(sorted(r.mini for r in single.where(F.col("n") > limit).collect()), dtype=np.int64).view(np.uint64)
+    return held & 0xFFFFFFFF
 
 
 ROW = "bucket long, arrays binary, texts binary, settled binary"
@@ -285,7 +270,8 @@ def _judge(k: int, chunk: int, shard: int):
             rows = np.repeat(at[a:b] + k, n[head[a:b]]) + _counting(n[head[a:b]])
             shards.append(suffix_order(data[lo:hi], rows - lo, k) + lo)
             a = b
-        found = np.sort(merged_repeats(data, shards, k))
+        _, name_of = np.unique(mini[head], return_inverse=True)
+        found = np.sort(merged_repeats(data, shards, np.repeat(name_of, sizes), k))
         i = np.searchsorted(at, found, side="right") - 1
         # copies of a string have gone already, as whole strings; what is found here belongs to the one that stands for them
         yield _merged(doc[head[i]], first[head[i]] + found - at[i], np.ones(len(found), dtype=np.int64))
@@ -318,7 +304,8 @@ def _judge(k: int, chunk: int, shard: int):
 def repeated_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first byte, that also start somewhere else."""
     buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _rows(df).mapInArrow(_packer(k, m, buckets, _hot(df, k, m, buckets)), ROW)
+    hot = hot_minimisers(df, lambda texts: Cut(texts, k, m, inner=False).mini, buckets)
+    packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), ROW)
     found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk, shard), RANGE), "op10-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
     n = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))
