@@ -35,7 +35,7 @@ from .components import components
 WIDTH = 4
 PERCENT = 80
 PERMS, BANDS, ROWS = 80, 32, 5
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -164,9 +164,10 @@ def possible(nodes: DataFrame, width: int, percent: int, slots: int = SLOTS) ->
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["slot", "n"])
 
-    seen = nodes.select("z").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = nodes.select("z").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(slots, dtype=np.int64)
-    counts[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    del seen
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
