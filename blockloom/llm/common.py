@@ -28,12 +28,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    tune(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tune(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the default of 10,000 rows, which whole texts would make large; another setting is left alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 

@@ -274,9 +274,13 @@ def _judge(k: int, chunk: int):
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        texts, places, windows, size, whole = [], [], 0, 0, True
+        texts, places, windows, whole, bucket = [], [], 0, True, None
         for batch in batches:
             for i in range(batch.num_rows):
+                if (b := batch.column("bucket")[i].as_py()) != bucket:
+                    if texts:
+                        yield from settle(texts, np.concatenate(places), whole)
+                    texts, places, windows, whole, bucket = [], [], 0, True, b
                 more, a, b = (batch.column(c)[i].as_py() for c in ("settled", "places", "texts"))
                 if more:
                     yield from pa.ipc.open_stream(unzip.decompress(more))
@@ -298,10 +302,11 @@ def _judge(k: int, chunk: int):
 
 def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
-    buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * parts
     hot = hot_minimisers(df, lambda texts: Cut(texts, k, m).mini, buckets)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
-    found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
+    found = table(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
     least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
     return settled.union(found.where("w1 IS NOT NULL").withColumn("least", least).where("doc_id > least").select("doc_id", "first", "n"))

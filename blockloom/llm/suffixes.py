@@ -40,7 +40,7 @@ from .substrings import RANGE, _counting, _merged, _ranges, _rows, _window_min,
 
 K = 400
 M = 24
-CHUNK = 96 << 20
+CHUNK = 64 << 20
 SHARD = 1 << 20
 PACK_BYTES = 1 << 18
 HELD_BYTES = 16 << 20
@@ -278,9 +278,13 @@ def _judge(k: int, chunk: int, shard: int):
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        texts, numbers, size, whole = [], [], 0, True
+        texts, numbers, size, whole, bucket = [], [], 0, True, None
         for batch in batches:
             for i in range(batch.num_rows):
+                if (b := batch.column("bucket")[i].as_py()) != bucket:
+                    if texts:
+                        yield from settle(texts, np.concatenate(numbers), whole)
+                    texts, numbers, size, whole, bucket = [], [], 0, True, b
                 more, a, b = (batch.column(c)[i].as_py() for c in ("settled", "arrays", "texts"))
                 if more:
                     yield from pa.ipc.open_stream(unzip.decompress(more))
@@ -303,10 +307,11 @@ def _judge(k: int, chunk: int, shard: int):
 
 def repeated_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(doc_id, first, n): runs of windows, by their first byte, that also start somewhere else."""
-    buckets = buckets or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * parts
     hot = hot_minimisers(df, lambda texts: Cut(texts, k, m, inner=False).mini, buckets)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), ROW)
-    found = table(packed.repartition(buckets, "bucket").mapInArrow(_judge(k, chunk, shard), RANGE), "op10-runs")
+    found = table(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k, chunk, shard), RANGE), "op10-runs")
     settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
     n = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))
     return settled.union(found.where("w1 IS NOT NULL").withColumn("c", n).where("c > 1").select("doc_id", "first", "n"))
