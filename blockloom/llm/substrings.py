@@ -143,13 +143,36 @@ def hot_minimisers(df: DataFrame, minimisers, buckets: int) -> np.ndarray:
     return np.array(sorted(r.mini for r in counted.where(F.col("mini").isNotNull() & (F.col("n") > limit)).collect()), dtype=np.int64).view(np.uint64)
 
 
-RANGE = "doc_id long, first long, n long, w1 long, w2 long"
+RANGE = "doc_id long, first long, n long, w1 long, w2 long, places array<long>"
 
 
-def _ranges(doc, first, n, keys=None) -> pa.RecordBatch:
-    """Runs of removed windows; with keys, single windows that are still open."""
-    w = [pa.nulls(len(doc), pa.int64())] * 2 if keys is None else [pa.array(signed(np.ascontiguousarray(keys[:, j])), pa.int64()) for j in (0, 1)]
-    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in (doc, first, n)), *w], ["doc_id", "first", "n", "w1", "w2"])
+_NAMES = ["doc_id", "first", "n", "w1", "w2", "places"]
+
+
+def _ranges(doc, first, n) -> pa.RecordBatch:
+    """Runs of removed windows."""
+    none = pa.nulls(len(doc), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in (doc, first, n)), none, none, pa.nulls(len(doc), pa.list_(pa.int64()))], _NAMES)
+
+
+def _open(doc: np.ndarray, first: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Windows that are still to be settled: one row for each window and document, with all its places there."""
+    order = np.lexsort((first, doc, keys[:, 1], keys[:, 0]))
+    doc, first, keys = doc[order], first[order], keys[order]
+    head = np.ones(len(doc), dtype=bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
+    at = np.flatnonzero(head)
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(first, pa.int64()))
+    none = pa.nulls(len(at), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), none, none, *(pa.array(signed(np.ascontiguousarray(keys[at, j]))) for j in (0, 1)), places], _NAMES)
+
+
+def runs_of(found: DataFrame, gone) -> DataFrame:
+    """(doc_id, runs): arrays of (first, n) of the removed windows, settled ones and those open ones for which `gone` holds."""
+    one = F.array(F.struct("first", "n"))
+    settled = found.where("w1 IS NULL").select("doc_id", one.alias("runs"))
+    many = F.transform("places", lambda p: F.struct(p.alias("first"), F.lit(1).cast("long").alias("n")))
+    return settled.union(found.where("w1 IS NOT NULL").withColumn("gone", gone).where("gone").select("doc_id", many.alias("runs")))
 
 
 def _merged(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -208,7 +231,7 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
                 i = order[single]
                 word = np.repeat(cut.word[i], cut.n[i]) + _counting(cut.n[i])
                 first = np.repeat(cut.first[i], cut.n[i]) + _counting(cut.n[i])
-                out.append(_ranges(np.repeat(owner[single], cut.n[i]), first, np.ones(len(first)), window_keys(cut.words, k)[word]))
+                out.append(_open(np.repeat(owner[single], cut.n[i]), first, window_keys(cut.words, k)[word]))
             for part in out:
                 yield row(int((number * 7919 + ids[0]) % buckets), None, None, part)
             buckets_of = (mix(cut.mini[order]) % np.uint64(buckets)).astype(np.int64)
@@ -258,7 +281,7 @@ def _judge(k: int, chunk: int):
         if not whole:
             for a in range(0, len(doc), 500_000):
                 s = slice(a, a + 500_000)
-                yield _ranges(doc[s], place[s], np.ones(len(doc[s])), keys[s])
+                yield _open(doc[s], place[s], keys[s])
             return
         order = np.lexsort((doc, keys[:, 1], keys[:, 0]))
         head = np.ones(len(order), dtype=bool)
@@ -301,15 +324,13 @@ def _judge(k: int, chunk: int):
 
 
 def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
+    """(doc_id, runs): runs (first, n) of windows, by their first word, that also start in a document with a smaller id."""
     parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * parts
     hot = hot_minimisers(df, lambda texts: Cut(texts, k, m).mini, buckets)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
     found = table(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
-    settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
-    least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
-    return settled.union(found.where("w1 IS NOT NULL").withColumn("least", least).where("doc_id > least").select("doc_id", "first", "n"))
+    return runs_of(found, F.col("doc_id") > F.min("doc_id").over(Window.partitionBy("w1", "w2")))
 
 
 def kept_words(text: bytes, runs: list[tuple[int, int]], k: int) -> tuple[int, list[bytes]]:
@@ -327,7 +348,7 @@ def kept_words(text: bytes, runs: list[tuple[int, int]], k: int) -> tuple[int, l
 
 def with_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
     """The rows (all columns) with their runs, as the last column."""
-    by_doc = runs.groupBy(F.col("doc_id").alias("_run_doc")).agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
+    by_doc = runs.groupBy(F.col("doc_id").alias("_run_doc")).agg(F.flatten(F.collect_list("runs")).alias("_runs"))
     return df.join(by_doc, df["doc_id"] == by_doc["_run_doc"], "left").drop("_run_doc")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MIX_1, PHI, _tables, documents, joined, mix, pieces, table, utf8
-from .substrings import RANGE, _counting, _merged, _ranges, _rows, _window_min, hot_minimisers, signed, with_runs
+from .substrings import RANGE, _counting, _merged, _open, _rows, _window_min, hot_minimisers, runs_of, signed, with_runs
 
 K = 400
 M = 24
@@ -211,7 +211,7 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
             if single.any():
                 i = order[single]
                 step = _counting(cut.n[i])
-                out.append(_ranges(np.repeat(owner[single], cut.n[i]), np.repeat(cut.first[i], cut.n[i]) + step, np.ones(len(step)), window_keys(cut.data, np.repeat(cut.start[i], cut.n[i]) + step, k)))
+                out.append(_open(np.repeat(owner[single], cut.n[i]), np.repeat(cut.first[i], cut.n[i]) + step, window_keys(cut.data, np.repeat(cut.start[i], cut.n[i]) + step, k)))
             for part in out:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as w:
@@ -246,7 +246,7 @@ def _judge(k: int, chunk: int, shard: int):
                 data = np.frombuffer(b"".join(texts[s]), dtype=np.uint8)
                 sizes = n[s] + k - 1
                 step = _counting(n[s])
-                yield _ranges(np.repeat(doc[s], n[s]), np.repeat(first[s], n[s]) + step, np.ones(len(step)), window_keys(data, np.repeat(np.cumsum(sizes) - sizes, n[s]) + step, k))
+                yield _open(np.repeat(doc[s], n[s]), np.repeat(first[s], n[s]) + step, window_keys(data, np.repeat(np.cumsum(sizes) - sizes, n[s]) + step, k))
             return
         seen: dict[bytes, int] = {}
         name = np.array([seen.setdefault(t, len(seen)) for t in texts])
@@ -306,15 +306,13 @@ def _judge(k: int, chunk: int, shard: int):
 
 
 def repeated_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
-    """(doc_id, first, n): runs of windows, by their first byte, that also start somewhere else."""
+    """(doc_id, runs): runs (first, n) of windows, by their first byte, that also start somewhere else."""
     parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 4 * parts
     hot = hot_minimisers(df, lambda texts: Cut(texts, k, m, inner=False).mini, buckets)
     packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), ROW)
     found = table(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k, chunk, shard), RANGE), "op10-runs")
-    settled = found.where("w1 IS NULL").select("doc_id", "first", "n")
-    n = F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))
-    return settled.union(found.where("w1 IS NOT NULL").withColumn("c", n).where("c > 1").select("doc_id", "first", "n"))
+    return runs_of(found, F.sum(F.size("places")).over(Window.partitionBy("w1", "w2")) > 1)
 
 
 def removed_spans(runs: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
