@@ -11,9 +11,8 @@ compressed; a shard holds the counts of its bigrams, looks the pairs up, and ret
 sums are added by batch. Log-probabilities are whole 1/4096 nats, so sums do not depend on order. The `TOP` most frequent
 trusted bigrams are scored where the text lies: they make up most of a text, and would be the hot keys.
 
-The model learns from labelled good documents (about `max_trusted` ids at most, chosen by hash, a documented bound that makes
-the broadcast of their ids bounded) except a fifth; on that fifth each language's threshold is the given quantile of
-perplexity. A document is kept if it does not exceed the threshold of its language (of all languages together, if its own
+The model learns from all labelled good documents except a fifth, chosen by hash; on that whole fifth each language's threshold
+is the given quantile of perplexity. Ids meet documents in shuffled semi joins, so neither side need fit in memory. A document is kept if it does not exceed the threshold of its language (of all languages together, if its own
 has none). Whole texts of all documents are scored.
 
 Defined results: null or empty text has no units, perplexity null, and is not kept; null languages use the common threshold;
@@ -38,7 +37,6 @@ from .packing import encoder, vocabulary
 UNITS = 50_258  # the vocabulary's ids, one spare, and the last for the beginning
 BEGIN = UNITS - 1
 TOP = 1 << 16
-MAX_TRUSTED = 200_000
 QUANTILE = 0.98
 UNIT = 4096
 
@@ -234,17 +232,15 @@ def perplexities(df: DataFrame, counts: DataFrame, model: Model, path: str, shar
     return scored.repartition(shards, "batch").mapInArrow(add_up, "doc_id long, lang string, n_units long, perplexity double")
 
 
-def judge(df: DataFrame, labels: DataFrame, path: str | None = None, max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, shards: int | None = None) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, path: str | None = None, quantile: float = QUANTILE, shards: int | None = None) -> DataFrame:
     """doc_id, lang, n_units, perplexity, threshold, kept of each row of (doc_id, text, lang)."""
     path = path or vocabulary()
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    share = max_trusted / max(max_trusted, good.count())
-    good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     good = table(good.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("held")), "op7-trusted")
-    taught = F.broadcast(good.where("NOT held").select("doc_id"))
+    taught = good.where("NOT held").select("doc_id").hint("shuffle_hash")
     counts, model = learn(df.join(taught, "doc_id", "left_semi"), path)
     found = table(perplexities(df, counts, model, path, shards), "op7-perplexities")
-    held = found.join(F.broadcast(good.where("held").select("doc_id")), "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    held = found.join(good.where("held").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     of = held.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     common = held.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     limit = F.coalesce(F.col("own"), F.lit(common).cast("double"), F.lit(float("inf")))

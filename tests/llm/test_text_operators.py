@@ -228,6 +228,19 @@ def test_model_edges(spark, nasty, empty, labels):
     assert quality_lm.judge(nasty, labels.where("false")).where("n_units > 0 AND NOT kept").count() == 0
 
 
+def test_model_learns_from_all_good_documents(spark, documents, monkeypatch):
+    # 500,000 good labels; every held-out document has a language of its own
+    labels = spark.range(500_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    rows = [(i, t, f"l{i}") for i, (_, t) in enumerate(documents[:60])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in frame.where("pmod(xxhash64(doc_id, 7), 5) = 0").collect()}
+    learn, seen = quality_lm.learn, []
+    monkeypatch.setattr(quality_lm, "learn", lambda df, path: seen.extend(r.doc_id for r in df.collect()) or learn(df, path))
+    got = quality_lm.judge(frame, labels).collect()
+    assert 0 < len(held) < 60 and sorted(seen) == sorted({i for i, *_ in rows} - held)
+    assert all(r.threshold == r.perplexity and r.kept for r in got if r.doc_id in held and r.n_units)
+
+
 def test_model_separates(spark, sf_dir):
     got = quality_lm.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     share = {(r.quality, r.toxic): r.k for r in got.groupBy("quality", "toxic").agg({"kept": "count"}).selectExpr("quality", "toxic", "`count(kept)` AS k").collect()}
