@@ -1,10 +1,10 @@
 """Quality rules, in DataFrame expressions only.
 
 Verdict: the hashed n-gram log-likelihood ratio between two multinomials, one of trusted text and one of the raw corpus.
-Words are hashed into `buckets` classes; the raw counts cover every document, the trusted counts the labelled good ones.
+N-grams up to `order` words (the query: words and pairs of neighbouring words) are hashed into `buckets` classes; the raw counts cover every document, the trusted counts the labelled good ones.
 The ratio of a class is ln((t + a) / (r + a)) with t its trusted count and r the count expected there from the raw corpus,
 so rare classes weigh nothing. It is kept as an integer number of millionths: sums are exact and so deterministic in any
-order. A document's score is the mean over its words; it is kept if the score reaches `threshold` (0: at least as likely
+order. A document's score is the mean over its n-grams; it is kept if the score reaches `threshold` (0: at least as likely
 under the trusted multinomial as under the raw one).
 
 Scale: both passes over the texts are map-side. The count pass shuffles at most `buckets` rows a task, the score pass one
@@ -26,6 +26,7 @@ BUCKETS = 1 << 20
 MAX_TRUSTED = 50_000
 PSEUDO = 3.0
 THRESHOLD = 0.0
+ORDER = 2
 UNIT = 1_000_000
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,8 +41,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets))
+def grams(w: Column, buckets: int, order: int) -> Column:
+    """The classes of the words and, at order 2, of the pairs of neighbouring words."""
+    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
+    if order == 1:
+        return one
+    two = F.transform(w, lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(buckets)))
+    return F.concat(one, F.slice(two, 1, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
 def repeat_words(w: Column) -> Column:
@@ -84,13 +90,13 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(UNIT)) < int(share * UNIT))
 
 
-def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
+def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO, order: int = 1) -> DataFrame:
     """(bucket, llr in millionths)."""
     flag = F.broadcast(trusted.select(F.col("doc_id").alias("doc_id"), F.lit(1).alias("good")))
     counts = (
         df.select("doc_id", "text").join(flag, "doc_id", "left")
-        .select("good", F.explode(words(F.col("text"))).alias("w"))
-        .groupBy(bucket(F.col("w"), buckets).alias("bucket"))
+        .select("good", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets, order))).alias("bucket"))
+        .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     )
     counts = table(counts, "op6-counts")
@@ -102,17 +108,17 @@ def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: fl
     return counts.select("bucket", F.round(F.log((F.col("good") + pseudo) / (due + pseudo)) * UNIT).cast("long").alias("llr"))
 
 
-def judge(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD) -> DataFrame:
+def judge(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD, order: int = 1) -> DataFrame:
     """The base figures, `base_failed`, `score` (null without words) and `kept` of each row."""
-    llr = ratios(df, trusted, buckets, pseudo)
+    llr = ratios(df, trusted, buckets, pseudo, order)
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = base(df).select(*keys, F.explode_outer("words").alias("w")).select(*keys, bucket(F.col("w"), buckets).alias("bucket"), F.col("w").isNotNull().alias("real"))
+    rows = base(df).select(*keys, F.explode_outer(grams(F.col("words"), buckets, order)).alias("bucket")).select(*keys, "bucket", F.col("bucket").isNotNull().alias("real"))
     sums = (
-        grams.join(F.broadcast(llr), "bucket", "left")
+        rows.join(F.broadcast(llr), "bucket", "left")
         .groupBy(*keys).agg(F.sum(F.when(F.col("real"), F.col("llr"))).alias("total"), F.count(F.lit(1)).alias("n"))
     )
     # rows with the same id and figures were summed together: as many rows come back
-    copies = (F.col("n") / F.greatest("n_words", F.lit(1))).cast("int")
+    copies = (F.col("n") / F.greatest(order * F.col("n_words") - (order - 1), F.lit(1))).cast("int")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     score = F.col("total") / F.col("n") / F.lit(float(UNIT))
     out = sums.select(*keys, failed.alias("base_failed"), score.alias("score"), F.explode(F.array_repeat(F.lit(0), copies)).alias("_"))
@@ -124,4 +130,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), trusted_ids(labels))
 
 
-QUERY = ("op6_quality_ratio", query)
+def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `query`, which scores single words, with pairs of neighbouring words besides."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(documents(spark, sf_dir), trusted_ids(labels), order=ORDER)
+
+
+QUERY = ("op6_quality_ratio", ngram_query)

@@ -176,6 +176,33 @@ def test_rules_and_ratio(spark, documents, sf_dir):
         assert r.kept == (not failed and r.score >= 0)
 
 
+def test_ratio_counts_pairs_of_words(spark, documents, sf_dir, nasty, labels):
+    def classes(t):
+        w = WORD.findall(t or "")
+        one = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
+        two = [xxhash.xxh64_intdigest(x.encode(), seed=h) for h, x in zip(one, w[1:], strict=False)]
+        return [struct.unpack("<q", struct.pack("<Q", h))[0] % quality_rules.BUCKETS for h in one + two]
+
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").collect()}
+    raw, fine = (collections.Counter(c for d, t in documents if every or d in good for c in classes(t)) for every in (True, False))
+    share = sum(fine.values()) / sum(raw.values())
+    llr = {c: math.log((fine[c] + quality_rules.PSEUDO) / (n * share + quality_rules.PSEUDO)) for c, n in raw.items()}
+    name, query = quality_rules.QUERY
+    got = {r.doc_id: r for r in query(spark, sf_dir).collect()}
+    assert name == "op6_quality_ratio" and len(got) == len(documents)
+    for d, t in documents:
+        found = classes(t)
+        assert got[d].score == pytest.approx(sum(llr[c] for c in found) / len(found), abs=2e-6) if found else got[d].score is None
+        assert got[d].kept == (not got[d].base_failed and got[d].score >= 0)
+    out = quality_rules.judge(nasty, quality_rules.trusted_ids(labels), order=2)
+    assert out.count() == nasty.count() and not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+    # the same words in another order
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(6, line), (1, " ".join(reversed(line.split())))], "doc_id long, text string")
+    trusted = spark.createDataFrame([(6,)], "doc_id long")
+    assert len({r.score for r in quality_rules.judge(rows, trusted, order=2).collect()}) == 2 and len({r.score for r in quality_rules.judge(rows, trusted).collect()}) == 1
+
+
 def test_rules_edges_and_native_plan(spark, nasty, empty, labels):
     out = quality_rules.judge(nasty, quality_rules.trusted_ids(labels))
     got = collections.Counter((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in out.collect())
