@@ -7,7 +7,8 @@ mean weight over its n-grams. Decoding is loss-weighted: the language whose code
 over bits weighted by how well the bit separates its two sides. `score` is the softmax of the negated losses; `ambiguous`
 says that the runner-up comes closer than `MARGIN` to the winner.
 
-Scale: fitting reads a sample of labelled rows chosen by hash of the id (about `max_rows`, a documented bound) and gathers
+Scale: fitting reads a sample of labelled rows chosen by hash of the id (about `max_rows` in all, a documented bound, dealt by
+language: those with few rows are read whole, the others give alike) and gathers
 `classes` counts a language; predicting is map-only with the fitted matrix (bounded by classes x bits) as the only side
 input. Whole texts are used in both.
 
@@ -129,11 +130,27 @@ def fit_counts(counts: dict[str, np.ndarray]) -> Model | None:
     return Model(languages, code, np.array(weights, dtype=np.float32).T.copy(), np.array(importance))
 
 
+def shares(rows: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows to read, about `most` rows in all: the languages with few rows keep all of them, the others get alike."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(rows) - i))
+        out[lang] = take / n
+        left -= take
+    return out
+
+
 def fit(df: DataFrame, classes: int = CLASSES, max_rows: int = MAX_ROWS) -> Model | None:
     """Learns from rows (doc_id, text, lang) with a language that are not held out."""
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = max_rows / max(max_rows, rows.count())
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text").repartition(24)
+    of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = {lang: int(1_000_000 * share) for lang, share in shares(of, max_rows).items() if share < 1}
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    chosen = F.lit(True)
+    if cut:
+        limit = F.create_map(*(F.lit(x) for pair in cut.items() for x in pair))[F.col("lang")]
+        chosen = mark < F.coalesce(limit, F.lit(1_000_000))
+    sample = rows.where(chosen).select("lang", "text").repartition(24)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -116,6 +116,15 @@ def test_language_is_right_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
 
 
+def test_rare_languages_are_learned(spark):
+    # 4,000 rows of one language and three of another, of which the sample of 50 reads all that are not held out
+    rows = [(i, "the quick brown fox", "en") for i in range(4000)] + [(i, "żółć gęślą jaźń", "pl") for i in (5001, 5002, 5004)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(frame, max_rows=50).languages == ["en", "pl"]
+    assert langid.shares({"a": 3, "b": 1000, "c": 4000}, 103) == {"a": 1, "b": 0.05, "c": 0.0125}
+    assert langid.shares({"a": 3, "b": 5}, 100) == {"a": 1, "b": 1}
+
+
 def test_language_edges(spark, nasty, empty):
     model = langid.fit(nasty)
     got = langid.predict(nasty, model).collect()
