@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.journal import numbered
 from .common import MIX_1, PHI, documents, gram_hashes, joined, mix, pieces, spans, table, utf8, word_hashes
 from .components import components
 
@@ -239,8 +240,16 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, p
 
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows (all columns) of which one stays for each group of near duplicates: the least id, once."""
+    """The rows (all columns) of which one stays for each group of near duplicates: the least id, once. Different texts of one id are judged apart."""
     named, unnamed = df.where("doc_id IS NOT NULL"), df.where("doc_id IS NULL")
+    of = F.xxhash64("text")
+    if not named.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").isEmpty():
+        # some ids have several texts: (id, text) is numbered in the order of ids, and the numbers stand in for the ids
+        at = F.struct(F.col("doc_id").cast("long").alias("id"), of.alias("text")).alias("_at")
+        numbers = table(numbered(named.select(at).distinct(), "_at", "_number"), "op9-numbers")
+        rows = table(named.select("*", at).join(numbers, "_at").drop("_at"), "op9-numbered")
+        gone = near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"), width, percent).where("NOT kept").select(F.col("doc_id").alias("_number"))
+        return rows.join(gone, "_number", "left_anti").dropDuplicates(["_number"]).select(*df.columns).union(unnamed)
     gone = near_duplicates(df.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id")
     return named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*df.columns).union(unnamed)
 

@@ -156,6 +156,13 @@ def test_near_duplicates_edges(nasty, empty):
     assert minhash.near_duplicates(empty).count() == minhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_judges_each_text_of_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (4, texts[2]), (4, texts[1]), (4, texts[2]), (5, None), (5, ""), (None, texts[0])]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, texts[0]), (2, texts[1]), (4, texts[2]), (5, None), (5, ""), (None, texts[0])]))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(links, "a", "b").collect()}
