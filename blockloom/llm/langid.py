@@ -213,12 +213,16 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep_known(df: DataFrame, model: Model | None, classes: int = CLASSES) -> DataFrame:
-    """The rows (all columns) whose text has a language: those predicted `und` are rejected."""
+    """The rows (all columns) whose text has a language: null texts and those without a letter are rejected, with or without a model."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = predict_texts(model, batch.column("text").to_pylist(), classes)
-            yield batch.filter(pa.array([x[0] != UND for x in found], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            if model is None:
+                known = [len(grams(t, classes)) > 0 for t in texts]
+            else:
+                known = [x[0] != UND for x in predict_texts(model, texts, classes)]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return df.mapInArrow(scan, df.schema)
 

@@ -1,6 +1,7 @@
 """The stages in a row, each against what the one before kept."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import pii
 from blockloom.llm.common import table
@@ -37,6 +38,13 @@ def test_stages(spark, sf_dir):
     assert [r.n_chars for r in docs.collect()] == [len(r.text) for r in docs.collect()]
 
 
+def test_language_without_any_label_keeps_texts(spark, sf_dir, nasty):
+    docs = nasty.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, sf_dir)
+    want = [r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert len(want) > 5 and sorted(r.text for r in kept.collect()) == sorted(want)
+
+
 def test_run_and_empty(spark, sf_dir, nasty, empty):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     for start in (nasty, empty):
