@@ -29,8 +29,19 @@ def snapshot_key(crypto_key: bytes | None, compression: int) -> bytes:
 
 
 def hash_path(digest: Column) -> Column:
-    """AA BB CC... -> AABB/CCDD/rest, upper-case hex."""
-    return F.concat_ws("/", F.hex(F.substring(digest, 1, 2)), F.hex(F.substring(digest, 3, 2)), F.hex(F.substring(digest, 5, 1 << 30)))
+    """AA BB CC... -> AABB/CCDD/rest, upper-case hex; null for anything that has not 32 bytes."""
+    path = F.concat_ws("/", F.hex(F.substring(digest, 1, 2)), F.hex(F.substring(digest, 3, 2)), F.hex(F.substring(digest, 5, 28)))
+    return F.when(F.octet_length(digest) == 32, path)
+
+
+def is_nil(digest: Column) -> Column:
+    """No hash: null, or 32 zero bytes."""
+    return digest.isNull() | (digest == F.lit(bytes(32)))
+
+
+def same_hash(a: Column, b: Column) -> Column:
+    """Equal hashes; nil ones equal each other in either form."""
+    return F.when(is_nil(a) | is_nil(b), is_nil(a) & is_nil(b)).otherwise(a == b)
 
 
 def first_byte(hex_digest: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,42 +11,51 @@ from pyspark.sql import functions as F
 JUMP_MULTIPLIER = 2862933555777941757
 
 
+def jump(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Jump consistent hash of unsigned 64-bit keys into 0 .. buckets - 1. Keys that have landed take no further part."""
+    at = np.zeros(len(keys), dtype=np.int64)
+    rows, state, reach = np.arange(len(keys)), keys.astype(np.uint64), np.zeros(len(keys))
+    while len(rows):
+        at[rows] = reach.astype(np.int64)
+        state = state * np.uint64(JUMP_MULTIPLIER) + np.uint64(1)
+        reach = np.floor((at[rows] + 1) * (2.0**31 / ((state >> np.uint64(33)).astype(np.float64) + 1)))
+        go = reach < buckets
+        rows, state, reach = rows[go], state[go], reach[go]
+    return at
+
+
 def jump_hash(key: Column, buckets: int) -> Column:
-    """Jump consistent hash of a non-negative bigint into 0 .. buckets - 1.
-
-    The generator needs unsigned 64-bit wraparound, which bigint lacks under ANSI rules: keys are DECIMAL(20,0), reduced
-    modulo 2 ** 64 after each product. A key makes about ln(buckets) jumps; the fold stops changing once it has landed.
-    """
-    word = F.lit("18446744073709551616").cast("decimal(38,0)")
-    times = F.lit(str(JUMP_MULTIPLIER)).cast("decimal(19,0)")
-
-    def jump(acc: Column, _: Column) -> Column:
-        going = acc["j"] < F.lit(float(buckets))
-        k = F.pmod((acc["k"] * times + F.lit(1).cast("decimal(1,0)")).cast("decimal(38,0)"), word).cast("decimal(20,0)")
-        high = F.floor(k / F.lit("8589934592").cast("decimal(20,0)")).cast("double")
-        b = acc["j"]
-        j = F.floor((b + 1) * (F.lit(2147483648.0) / (high + 1))).cast("double")
-        return F.struct(F.when(going, k).otherwise(acc["k"]).alias("k"), F.when(going, b).otherwise(acc["b"]).alias("b"), F.when(going, j).otherwise(acc["j"]).alias("j"))
-
-    steps = F.sequence(F.lit(1), F.lit(max(8, 6 * max(1, buckets.bit_length()))))
-    start = F.struct(key.cast("decimal(20,0)").alias("k"), F.lit(-1.0).alias("b"), F.lit(0.0).alias("j"))
-    return F.aggregate(steps, start, jump, lambda a: F.when(a["j"] >= float(buckets), a["b"]).otherwise(F.raise_error(F.lit("too few jumps"))).cast("bigint"))
-
-
-def shard_by_index(index: Column, alive: list[bool], tries: int = 16) -> Column:
-    """index mod n; past a dead server, the jump hash of index, index + 1, ... until one is alive."""
-    n = len(alive)
+    """Jump consistent hash of a bigint. The generator needs unsigned 64-bit wraparound, which bigint lacks under ANSI rules, so batches of keys go through numpy."""
+
+    @F.pandas_udf("bigint")
+    def land(keys: pd.Series) -> pd.Series:
+        return pd.Series(jump(keys.to_numpy(np.int64), buckets))
+
+    return land(key)
+
+
+def shard_by_index(index: Column, alive: list[bool]) -> Column:
+    """index mod n; past a dead server, the jump hash of index, index + 1, ... until one is alive, however many tries that takes."""
     if not any(alive):
         raise ValueError("no server is alive")
-    up = F.array(*map(F.lit, alive))
-    home = index % n
+    n, up = len(alive), np.array(alive)
+    home = F.pmod(index, F.lit(n))
+    if all(alive):
+        return home
 
-    def step(found: Column, t: Column) -> Column:
-        again = F.transform(F.array(jump_hash(index + t, n)), lambda at: F.when(F.get(up, at.cast("int")), at).otherwise(-1))[0]
-        return F.when(found >= 0, found).otherwise(again)
+    @F.pandas_udf("bigint")
+    def other(keys: pd.Series) -> pd.Series:
+        key = keys.fillna(-1).to_numpy(np.int64)
+        out = np.full(len(key), -1, dtype=np.int64)
+        rows = np.flatnonzero(key >= 0)  # -1: its own server is alive
+        step = 0
+        while len(rows):
+            out[rows] = jump(key[rows] + step, n)
+            rows, step = rows[~up[out[rows]]], step + 1
+        return pd.Series(out)
 
-    other = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(-1).cast("bigint"), step, lambda at: F.when(at >= 0, at).otherwise(F.raise_error(F.lit("no live server found")).cast("bigint")))
-    return F.when(F.get(up, home.cast("int")), home).otherwise(other)
+    own = F.get(F.array(*map(F.lit, alive)), home.cast("int"))
+    return F.when(own, home).otherwise(other(F.when(~own, index)))
 
 
 def shard_by_hash(hex_digest: Column, servers: int) -> Column:

@@ -56,6 +56,47 @@ def valid_address(text: Column) -> Column:
     return text.rlike(r"^(unix:.+|/.+|https?://\S+|[^\s:]+:\d{1,5})$")
 
 
+def type_name(kind: Column) -> Column:
+    """boot, db, cache or tmp; null for any other number."""
+    out = F.lit(None).cast("string")
+    for name, bits in TYPES.items():
+        out = F.when(kind == bits, name).otherwise(out)
+    return out
+
+
+def type_code(name: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for text, bits in TYPES.items():
+        out = F.when(name == text, bits).otherwise(out)
+    return out
+
+
+def now_ns() -> Column:
+    """The UTC epoch in nanoseconds (to the microsecond)."""
+    return F.unix_micros(F.current_timestamp()) * 1000
+
+
+def as_long(reply: Column) -> Column:
+    """A server's reply read as a number: null stays null, text that is none fails the query."""
+    return reply.cast("string").cast("bigint")
+
+
+def as_flag(reply: Column) -> Column:
+    return as_long(reply) != 0
+
+
+def as_longs(replies: Column) -> Column:
+    return F.transform(replies, as_long)
+
+
+def as_pairs(replies: Column) -> Column:
+    """A flat list of keys and values as a map from numbers to values; an odd one out is an error."""
+    n = F.size(replies)
+    even = F.when(n % 2 == 0, n).otherwise(F.raise_error(F.lit("keys and values don't pair up")).cast("int"))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(even - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i < even))
+    return F.map_from_arrays(F.transform(at, lambda i: as_long(F.get(replies, i))), F.transform(at, lambda i: F.get(replies, i + 1)))
+
+
 def has_bits(kind: Column, bits: int) -> Column:
     return kind.bitwiseAND(bits) != 0
 

@@ -15,17 +15,31 @@ def split_requests(requests: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("block_offset", start - F.col("block_index") * size).withColumn("piece_length", end - start)
 
 
-def violations(requests: DataFrame, volume_bytes: int, read_only: bool = False, most: int = 32 << 20) -> DataFrame:
-    """Why each request is refused, null if it is not."""
+#: What a client may ask for (fixed values): reads and writes touch blocks; trim and flush are accepted without an effect on them.
+COMMANDS = ("read", "write", "disconnect", "flush", "trim", "write_zeroes")
+
+
+def violations(requests: DataFrame, volume_bytes: int, read_only: bool = False, most: int = 32 << 20, least: int = 1) -> DataFrame:
+    """Why each request is refused, null if it is not: unknown command, write to a read-only volume, too long, out of bounds, off the least block's borders."""
     why = F.when(F.col("length") > most, "too long").when((F.col("offset") < 0) | (F.col("offset") + F.col("length") > volume_bytes), "out of bounds")
-    if read_only and "cmd" in requests.columns:
-        why = F.when(F.col("cmd").isin("write", "write_zeroes", "trim"), "read only").otherwise(why)
+    if least > 1:
+        why = why.when((F.col("offset") % least != 0) | (F.col("length") % least != 0), "not aligned")
+    if "cmd" in requests.columns:
+        if read_only:
+            why = F.when(F.col("cmd").isin("write", "write_zeroes", "trim"), "read only").otherwise(why)
+        why = F.when(~F.col("cmd").isin(*COMMANDS), "unknown command").otherwise(F.when(F.col("cmd").isin("flush", "disconnect"), None).otherwise(why))
     return requests.withColumn("violation", why)
 
 
+def effective(requests: DataFrame) -> DataFrame:
+    """The requests that change blocks: trim is accepted and does nothing."""
+    return requests.where(F.col("cmd").isin("write", "write_zeroes"))
+
+
 def merge_write(content: Column, data: Column, offset: Column, size: int) -> Column:
-    """A block after a partial write: short or absent blocks are zero-extended to size first."""
-    whole = F.rpad(F.coalesce(content, F.lit(b"")), size, bytes(1))
+    """A block after a partial write: short or absent blocks are zero-extended to size first; a block longer than size fails the query."""
+    short = F.octet_length(F.coalesce(content, F.lit(b""))) <= size
+    whole = F.when(short, F.rpad(F.coalesce(content, F.lit(b"")), size, bytes(1))).otherwise(F.raise_error(F.lit(f"a block has more than {size} bytes")).cast("binary"))
     return F.overlay(whole, data, (offset + 1).cast("int"))
 
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import DELETE, SEGMENT, SET
+from ..sources.shared import table
+
+#: Arrivals that one task judges at a time.
+CHUNK = 1_000_000
+#: Rows and seconds after which a receiver writes a segment (fixed values).
+FLUSH_SIZE, FLUSH_SECONDS = 25, 25
 
 
 def bounded(journal: DataFrame, column: str = "seq", start=None, end=None) -> DataFrame:
@@ -32,14 +43,32 @@ def replay_onto(state: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, alias: str = "seq", partitions: int | None = None) -> DataFrame:
-    """Dense numbers from 1 by `order`, without a window over all rows: range partitions, each offset by those before."""
+    """Dense numbers from 1 by `order`, without a window over all rows.
+
+    The rows are sorted by range and written once with their place in their partition: the ranges can't move between counting
+    and numbering. The driver sees one count a partition.
+    """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    counts = sorted_.groupBy("_part").count()
-    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return sorted_.join(F.broadcast(before), "_part").withColumn(alias, (local + F.col("_before")).cast("bigint")).drop("_part", "_before")
+    held = table(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_at", 33)
+    before, total = [], 1
+    for r in sorted(held.groupBy(part.alias("part")).count().collect()):
+        before.append((r["part"], total))
+        total += r["count"]
+    starts = F.broadcast(spark.createDataFrame(before, "_part bigint, _start bigint"))  # a row a partition
+    number = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return held.withColumn("_part", part).join(starts, "_part").withColumn(alias, number).drop("_part", "_start", "_at")
+
+
+def before(rows: DataFrame, value: str, order: str, *partition: str) -> DataFrame:
+    """Adds `_before`, the value of the row before, and `_first`, whether there is none. Without a partition the rows are numbered and meet their neighbours by number, so no task has to sort them all."""
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(order)
+        return rows.withColumn("_before", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    held = numbered(rows, order, "_n")
+    earlier = held.select((F.col("_n") + 1).alias("_n"), F.col(value).alias("_before"), F.lit(False).alias("_first"))
+    return held.join(earlier, "_n", "left").withColumn("_first", F.coalesce("_first", F.lit(True))).drop("_n")
 
 
 def segments(journal: DataFrame, size: int = SEGMENT) -> DataFrame:
@@ -61,10 +90,7 @@ def chained(segments_: DataFrame) -> DataFrame:
 
 def adjacent_unique(rows: DataFrame, value: str, order: str, *partition: str) -> DataFrame:
     """Drops rows whose value equals that of the row before."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    before = F.lag(value).over(w)
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("_keep", first | ~F.col(value).eqNullSafe(before)).where("_keep").drop("_keep")
+    return before(rows, value, order, *partition).where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).select(*rows.columns)
 
 
 def history(journal: DataFrame) -> DataFrame:
@@ -77,15 +103,136 @@ def history(journal: DataFrame) -> DataFrame:
 
 def gaps(journal: DataFrame, order: str = "seq", *partition: str) -> DataFrame:
     """Where the numbers jump: the last one before, the next one, how many are missing."""
-    before = F.lag(order).over(Window.partitionBy(*partition).orderBy(order))
-    return journal.select(*partition, before.alias("after_seq"), F.col(order).alias("next_seq")).where(F.col("next_seq") - F.col("after_seq") > 1).withColumn("missing", F.col("next_seq") - F.col("after_seq") - 1)
-
-
-def accepted(arrivals: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """What a receiver that expects each next seq makes of arrivals, by volume: accept, duplicate or early (all sent again later)."""
-    w = Window.partitionBy("volume").orderBy(arrival)
-    top = F.coalesce(F.max("seq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return arrivals.withColumn("verdict", F.when(F.col("seq") <= top, "duplicate").when(F.col("seq") == top + 1, "accept").otherwise("early"))
+    near = before(journal, order, order, *partition).select(*partition, F.col("_before").alias("after_seq"), F.col(order).alias("next_seq"))
+    return near.where(F.col("next_seq") - F.col("after_seq") > 1).withColumn("missing", F.col("next_seq") - F.col("after_seq") - 1)
+
+
+def _reached(seqs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(lo, hi, to): a receiver that expects a number of lo .. hi before these arrivals expects `to` after them."""
+    ends: dict[int, int] = {}
+    for s in seqs[::-1].tolist():
+        ends[s] = ends.get(s + 1, s + 1)
+    out: list[tuple[int, int, int]] = []
+    for s in sorted(ends):
+        if out and out[-1][1] == s - 1 and out[-1][2] == ends[s]:
+            out[-1] = (out[-1][0], s, ends[s])
+        else:
+            out.append((s, s, ends[s]))
+    return out
+
+
+def accepted(arrivals: DataFrame, arrival: str = "arrival", chunk: int = CHUNK) -> DataFrame:
+    """What a receiver that expects each next seq (from 1, by volume) makes of arrivals: accept, duplicate, or early (dropped, to be sent again).
+
+    Only an accepted row raises what is expected. A volume's arrivals are judged in chunks of bounded size: each chunk first says
+    where it leads from every number that may be expected before it (as intervals), a short pass over these gives what is
+    expected at each chunk's start, and then the chunks are judged side by side. Rows without a seq have no verdict.
+    """
+    by, columns = F.struct("volume", arrival), arrivals.columns
+    held = numbered(arrivals.withColumn("_by", by), "_by", "_n").withColumn("_chunk", F.expr(f"(_n - 1) div {chunk}")).drop("_by")
+    held = table(held, "arrivals")
+
+    def lead(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = _reached(rows.dropna().sort_values("_n")["seq"].to_numpy(np.int64))
+        return pd.DataFrame([(*key, *x) for x in found] or [(*key, 0, -1, 0)], columns=["volume", "_chunk", "lo", "hi", "to"])
+
+    leads = held.select("volume", "_chunk", "_n", "seq").groupBy("volume", "_chunk").applyInPandas(lead, "volume string, _chunk bigint, lo bigint, hi bigint, to bigint")
+
+    def start(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, expected, after = None, 1, 1
+        for part in parts:
+            out = []
+            for volume, number, lo, hi, to in part.itertuples(index=False):
+                if (volume, number) != at:
+                    expected = after = after if at and at[0] == volume else 1
+                    at = (volume, number)
+                    out.append((volume, number, expected))
+                if lo <= expected <= hi:
+                    after = to
+            yield pd.DataFrame(out, columns=["volume", "_chunk", "_expected"])
+
+    starts = leads.repartition("volume").sortWithinPartitions("volume", "_chunk").mapInPandas(start, "volume string, _chunk bigint, _expected bigint")
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
+        expected, verdicts = int(rows["_expected"].iloc[0]), []
+        for s in rows["seq"].tolist():
+            if s is None or s != s:
+                verdicts.append(None)
+            elif s == expected:
+                verdicts.append("accept")
+                expected += 1
+            else:
+                verdicts.append("duplicate" if s < expected else "early")
+        return rows[columns].assign(verdict=verdicts)
+
+    schema = StructType([*arrivals.schema.fields, StructField("verdict", StringType())])
+    return held.join(starts, ["volume", "_chunk"]).groupBy("volume", "_chunk").applyInPandas(judge, schema)
+
+
+def flushed(journal: DataFrame, size: int = FLUSH_SIZE, seconds: float = FLUSH_SECONDS, forced: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+    """(volume, segment_no, n, first_seq, last_seq): the segments that a receiver writes of an ordered journal (volume, seq, ts in epoch seconds).
+
+    A segment is written when it has `size` rows; when the timer, which every flush restarts and which runs from the first row on,
+    ends and the buffer holds something; or when the row of a forced flush (volume, seq) has come, for which it waits. Rows up to the
+    last flushed one (volume, seq) of `after` are ignored: a resumed receiver goes on behind it. What is left at the end is a segment too.
+
+    A fold in order of seq with a state of a few numbers; volumes run side by side.
+    """
+    rows = journal.select("volume", "seq", F.col("ts").cast("double").alias("ts"))
+    for asked, name in ((forced, "_forced"), (after, "_after")):
+        if asked is None:
+            rows = rows.withColumn(name, F.lit(None).cast("bigint"))
+        else:
+            rows = rows.join(asked.groupBy("volume").agg(F.max("seq").alias(name)), "volume", "left")
+    rows = rows.where(F.col("_after").isNull() | (F.col("seq") > F.col("_after")))
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        volume, number, first, last, n, timer, waits = None, 0, 0, 0, 0, 0.0, False
+        out: list[tuple] = []
+
+        def flush() -> None:
+            nonlocal number, n
+            if n:
+                out.append((volume, number, n, first, last))
+                number, n = number + 1, 0
+
+        for part in parts:
+            for v, seq, ts, force, _ in part.itertuples(index=False):
+                if v != volume:
+                    flush()
+                    volume, number, timer, waits = v, 0, ts, force == force and force is not None
+                if ts - timer >= seconds:
+                    flush()
+                    timer += (ts - timer) // seconds * seconds
+                first, last, n = first if n else seq, seq, n + 1
+                due = waits and seq >= force
+                if due or n >= size:
+                    waits = waits and not due
+                    flush()
+                    timer = ts
+            yield pd.DataFrame(out, columns=["volume", "segment_no", "n", "first_seq", "last_seq"])
+            out.clear()
+        flush()
+        if out:
+            yield pd.DataFrame(out, columns=["volume", "segment_no", "n", "first_seq", "last_seq"])
+
+    sorted_ = rows.select("volume", "seq", "ts", "_forced", "_after").repartition("volume").sortWithinPartitions("volume", "seq")
+    return sorted_.mapInPandas(fold, "volume string, segment_no bigint, n bigint, first_seq bigint, last_seq bigint")
+
+
+def straddling(segments_: DataFrame, column: str = "seq", start: int = 0, end: int = 0) -> DataFrame:
+    """Whether a bound cuts a segment: `starts_inside` (begins before start, ends at or after it), `ends_inside` (begins at or before end, ends after it). 0 leaves a side open."""
+    lo, hi = F.col(f"first_{column}"), F.col(f"last_{column}")
+    return segments_.withColumn("starts_inside", F.lit(bool(start)) & (hi >= start) & (lo < start)).withColumn("ends_inside", F.lit(bool(end)) & (hi > end) & (lo <= end))
+
+
+def caught_up(state: DataFrame, journal: DataFrame, flushed_: int, head: int | None = None) -> DataFrame:
+    """A store that stands at seq `flushed_`, brought to the journal's end, which has to be `head`."""
+    rest = journal.where(F.col("seq") > flushed_)
+    if head is not None and (last := rest.agg(F.coalesce(F.max("seq"), F.lit(flushed_))).first()[0]) != head:
+        raise ValueError(f"the journal should end at {head}, it ends at {last}")
+    return replay_onto(state, rest)
 
 
 def synthesised(blocks: DataFrame, ts: int) -> DataFrame:
@@ -97,9 +244,18 @@ def ignore_before(journal: DataFrame, seq: int) -> DataFrame:
     return journal.where(F.col("seq") >= seq)
 
 
-def rekeyed(segments_: DataFrame, target: str, key: str = "segment_key") -> DataFrame:
-    """A full clone of segments: their keys become the hash of the target volume and the old key."""
-    return segments_.withColumn(key, F.sha2(F.concat(F.lit(target).cast("binary"), F.col(key).cast("binary")), 256))
+def segment_key(volume: Column, payload: Column) -> Column:
+    """The key of a segment: the hash of the volume's name and the bytes."""
+    return F.sha2(F.concat(volume.cast("binary"), payload.cast("binary")), 256)
+
+
+def cloned(segments_: DataFrame, target: str) -> DataFrame:
+    """A full clone: (segment_no, segment_key) of the source becomes a chain of its own, with keys from the target's name and the old keys, and the keys before and after."""
+    mine = segments_.select("segment_no", segment_key(F.lit(target), F.col("segment_key")).alias("segment_key"))
+    out = mine
+    for name, step in (("previous_key", 1), ("next_key", -1)):
+        out = out.join(mine.select((F.col("segment_no") + step).alias("segment_no"), F.col("segment_key").alias(name)), "segment_no", "left")
+    return out
 
 
 def referenced(refs: DataFrame, source: str, target: str) -> DataFrame:
@@ -107,15 +263,32 @@ def referenced(refs: DataFrame, source: str, target: str) -> DataFrame:
     return refs.union(refs.where(F.col("volume") == source).select("segment_key", F.lit(target).alias("volume"))).distinct()
 
 
+def owners(refs: DataFrame) -> DataFrame:
+    """How many volumes own each segment."""
+    return refs.groupBy("segment_key").agg(F.count_distinct("volume").alias("owners"))
+
+
 def deletable(refs: DataFrame, volume: str) -> DataFrame:
     """Segments of a volume with no other owner: their data go when the volume's journal is deleted."""
-    owners = refs.groupBy("segment_key").agg(F.count_distinct("volume").alias("owners"), F.bool_or(F.col("volume") == volume).alias("own"))
-    return owners.where("own AND owners = 1").select("segment_key")
+    held = refs.groupBy("segment_key").agg(F.count_distinct("volume").alias("owners"), F.bool_or(F.col("volume") == volume).alias("own"))
+    return held.where("own AND owners = 1").select("segment_key")
+
+
+def released(refs: DataFrame, volume: str) -> DataFrame:
+    """The references that stay when a volume's journal is deleted."""
+    return refs.where(F.col("volume") != volume)
+
+
+def copied_positions(positions: DataFrame, source: str, target: str) -> DataFrame:
+    """positions (volume, last_flushed) after the target has taken over the source's."""
+    mine = positions.where(F.col("volume") == source).select(F.lit(target).alias("volume"), "last_flushed")
+    return positions.where(F.col("volume") != target).unionByName(mine)
 
 
-def to_delete_null(op, data):
-    """A write of zeros is recorded as a delete without content."""
-    return F.when(op == DELETE, F.lit(None)).otherwise(data)
+def evicted(pending_: DataFrame, acked: DataFrame) -> DataFrame:
+    """What an acknowledged flush leaves of the write-behind cache (seq, block_index): rows of a block up to its newest acknowledged seq go."""
+    top = acked.join(pending_.select("seq", "block_index"), "seq").groupBy("block_index").agg(F.max("seq").alias("_top"))
+    return pending_.join(top, "block_index", "left").where(F.col("_top").isNull() | (F.col("seq") > F.col("_top"))).drop("_top")
 
 
 def pending(sent: DataFrame, acked: DataFrame) -> DataFrame:

@@ -36,3 +36,8 @@ def with_idle(windows_: DataFrame, seconds: int, *keys: str) -> DataFrame:
 
 def enriched(metrics: DataFrame, tags: DataFrame, key: str) -> DataFrame:
     return metrics.join(tags, key, "left")
+
+
+def resident(accesses: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
+    """What a cache that evicts the least recently used key holds after all accesses: the `capacity` keys used last, the oldest last."""
+    return accesses.groupBy(key).agg(F.max(order).alias("last_used")).orderBy(F.col("last_used").desc(), key).limit(capacity)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import blake2b_256, snapshot_key
@@ -61,31 +61,50 @@ def describe(map_: DataFrame, block_size: int) -> DataFrame:
     )
 
 
-def describe_json(map_: DataFrame, block_size: int) -> DataFrame:
-    return describe(map_, block_size).select(F.to_json(F.struct("*")).alias("json"))
+def describe_json(map_: DataFrame, block_size: int, pretty: bool = False) -> DataFrame:
+    return describe(map_, block_size).select(F.to_json(F.struct("*"), {"pretty": str(pretty).lower()}).alias("json"))
 
 
-def header(map_: DataFrame, snapshot: str, block_size: int, source_id: str, source_size: int) -> DataFrame:
-    """One nested row: metadata and the parallel arrays of the map (one row of it a block: for interchange, not for queries)."""
+def header(map_: DataFrame, snapshot: str, block_size: int, source_id: str, source_size: int, span: int = 1 << 16) -> DataFrame:
+    """Nested rows, one for each `span` indices that holds blocks: the metadata and, sorted, the parallel arrays of the map. A part has `span` entries at most, whatever the volume's size."""
     pairs = F.array_sort(F.collect_list(F.struct("block_index", "hash")))
     source = F.struct(F.lit(source_id).alias("id"), F.lit(block_size).alias("bs"), F.lit(source_size).alias("sz"))
-    return map_.agg(pairs.alias("p")).select(
-        F.lit(snapshot).alias("id"), F.lit(block_size).alias("bs"), source.alias("src"), F.struct(F.size("p").alias("c"), F.col("p.block_index").alias("i"), F.col("p.hash").alias("h")).alias("map")
+    return map_.groupBy(F.expr(f"block_index div {span}").alias("part")).agg(pairs.alias("p")).select(
+        "part", F.lit(snapshot).alias("id"), F.lit(block_size).alias("bs"), source.alias("src"), F.struct(F.size("p").alias("c"), F.col("p.block_index").alias("i"), F.col("p.hash").alias("h")).alias("map")
     )
 
 
 def header_rows(header_: DataFrame) -> DataFrame:
-    return header_.select(F.explode(F.arrays_zip(F.col("map.i").alias("i"), F.col("map.h").alias("h"))).alias("z")).select(F.col("z.i").alias("block_index"), F.col("z.h").alias("hash"))
+    """The map of a header; parts whose arrays and count disagree fail the query."""
+    whole = (F.size("map.i") == F.col("map.c")) & (F.size("map.h") == F.col("map.c"))
+    zipped = F.arrays_zip(F.col("map.i").alias("i"), F.col("map.h").alias("h"))
+    rows = header_.select(F.explode(F.when(whole, zipped).otherwise(F.raise_error(F.lit("invalid header")).cast("array<struct<i:bigint,h:string>>"))).alias("z"))
+    return rows.select(F.col("z.i").alias("block_index"), F.col("z.h").alias("hash"))
+
+
+def snapshot_id(volume: Column, at: Column | None = None) -> Column:
+    """The default name of a snapshot: the volume's and the second (now)."""
+    return F.concat_ws("_", volume, F.unix_timestamp(F.coalesce(at, F.current_timestamp()) if at is not None else F.current_timestamp()).cast("string"))
+
+
+def header_choice(exists: Column, readable: Column, have: Column, want: Column, force: Column) -> Column:
+    """What an export does about a header: new if there is none, reuse it if its block size fits, else new by force or an error."""
+    return (
+        F.when(~exists, "new")
+        .when(~readable, F.when(force, "new").otherwise("error: unreadable"))
+        .when(have == want, "reuse")
+        .otherwise(F.when(force, "new").otherwise("error: incompatible block size"))
+    )
 
 
 def write(root: str, snapshot: str, map_: DataFrame, contents: DataFrame) -> None:
-    """Contents are appended once, spread over 256 directories by the first byte of the hash; the map replaces the snapshot's own."""
-    contents.withColumn("prefix", F.hex(F.substring("hash", 1, 1))).write.mode("append").partitionBy("prefix").parquet(f"{root}/content")
+    """Contents are appended once, in files sorted by ranges of the hash, so that reads by hash skip row groups; the map replaces the snapshot's own."""
+    contents.repartitionByRange("hash").sortWithinPartitions("hash").write.mode("append").parquet(f"{root}/content")
     map_.write.mode("overwrite").parquet(f"{root}/map/snapshot={snapshot}")
 
 
 def read(spark: SparkSession, root: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{root}/map/snapshot={snapshot}"), spark.read.parquet(f"{root}/content").drop("prefix")
+    return spark.read.parquet(f"{root}/map/snapshot={snapshot}"), spark.read.parquet(f"{root}/content")
 
 
 def listed(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with QUERIES {name: function(spark, sf_dir)} and SQL {name: text}.
-MODULES = ("journals", "volumes")
+MODULES = ("journals", "volumes", "systems")
 
 
 def queries() -> dict:

@@ -14,22 +14,17 @@ def _hex(df):
     return df.withColumn("content", F.hex("content"))
 
 
-def _binary(s, d, most=600):
-    """Blocks of bytes: the texts of up to 600 bytes, so that re-chunking to one size is meaningful, and gaps where longer ones stood."""
-    return b.blocks(s, d).select("block_index", F.col("content").cast("binary").alias("content")).where(F.octet_length("content") <= most)
-
-
 def content_dedup(s, d):
     lba, fresh = store.dedup_write(b.blocks(s, d).select("block_index", "content"))
     return fresh.select("hash", F.octet_length("content").cast("bigint").alias("n_bytes"))
 
 
 def dedup_ratio(s, d):
-    return b.blocks(s, d).agg(F.count("*").alias("n_blocks"), F.count_distinct("hash").alias("n_distinct"))
+    return store.dedup_stats(b.blocks(s, d))
 
 
 def dedup_groups(s, d):
-    return b.blocks(s, d).groupBy("hash").agg(F.count("*").alias("n"), F.min("block_index").alias("first_index")).where("n > 1")
+    return store.shared_contents(b.blocks(s, d))
 
 
 def dedup_read(s, d):
@@ -96,24 +91,24 @@ def upsert_blocks(s, d):
 
 def delete_blocks(s, d):
     rows = b.blocks(s, d).select("block_index", "hash")
-    return rows.join(rows.where("block_index % 7 = 0").select("block_index"), "block_index", "left_anti")
+    return store.deleted(rows, rows.where("block_index % 7 = 0"))
 
 
 def inflate_blocks(s, d):
-    return _hex(rechunk.inflate(_binary(s, d), 600, 4)).select("block_index", F.sha2("content", 256).alias("digest"))
+    return _hex(rechunk.inflate(b.pieces(s, d), 600, 4)).select("block_index", F.sha2("content", 256).alias("digest"))
 
 
 def deflate_blocks(s, d):
-    return _hex(rechunk.deflate(_binary(s, d), 100, 6))
+    return _hex(rechunk.deflate(b.pieces(s, d), 100, 6))
 
 
 def rechunk_roundtrip(s, d):
-    back = rechunk.deflate(rechunk.inflate(_binary(s, d), 600, 4), 600, 4)
+    back = rechunk.deflate(rechunk.inflate(b.pieces(s, d), 600, 4), 600, 4)
     return _hex(back).select("block_index", F.sha2("content", 256).alias("digest"))
 
 
 def snapshot_describe(s, d):
-    return snapshot.describe(b.blocks(s, d).where("block_index % 3 <> 1").select("block_index", "hash"), 4096)
+    return snapshot.describe(b.blocks(s, d).select("block_index", "hash"), 4096)
 
 
 def snapshot_header_rows(s, d):
@@ -121,7 +116,7 @@ def snapshot_header_rows(s, d):
 
 
 def import_extent(s, d):
-    rows = _binary(s, d)
+    rows = b.pieces(s, d)
     return (snapshot.extent(rows, 600, 600).select(F.lit("equal").alias("case"), "size")
             .union(snapshot.extent(rows, 600, 2400).select(F.lit("larger").alias("case"), "size"))
             .union(snapshot.extent(rows, 600, 50).select(F.lit("smaller").alias("case"), "size")))
@@ -142,12 +137,12 @@ def padded_read(s, d):
 
 
 def merge_write(s, d):
-    rows = _binary(s, d)
+    rows = b.pieces(s, d)
     return rows.select("block_index", F.hex(addressing.merge_write(F.col("content"), F.lit(b"0123456789"), F.col("block_index") % 500, 600)).alias("bytes"))
 
 
 def merge_zeroes(s, d):
-    rows = _binary(s, d).select("block_index", F.when(F.col("block_index") % 4 != 0, F.col("content")).alias("content"))
+    rows = b.pieces(s, d).select("block_index", F.when(F.col("block_index") % 4 != 0, F.col("content")).alias("content"))
     return rows.select("block_index", F.hex(addressing.merge_zeroes(F.col("content"), F.col("block_index") % 500, F.lit(20), 600)).alias("bytes"))
 
 
@@ -185,32 +180,32 @@ def server_state_fold(s, d):
 
 
 def first_online_server(s, d):
-    return cluster.first_online(b.servers(s))
+    return cluster.first_online(b.servers(s, d))
 
 
 def assigned_servers(s, d):
-    rows = b.blocks(s, d).select("block_index", (F.col("block_index") % 13).cast("int").alias("server_index"))
-    return cluster.assigned(rows, b.servers(s)).groupBy("address", "state").agg(F.count("*").alias("n"))
+    """Every supplier is a server of one large cluster."""
+    k = F.col("s_suppkey")
+    servers = b.read(s, d, "supplier").select(k.alias("server_index"), F.concat(F.lit("10.0.0."), k.cast("string")).alias("address"), F.when(k % 4 == 2, "offline").otherwise("online").alias("state"))
+    rows = b.blocks(s, d).select("block_index", (F.col("block_index") % servers.count()).alias("server_index"))
+    return cluster.assigned(rows, servers).groupBy("address", "state").agg(F.count("*").alias("n"))
 
 
-VOLUMES = [("a", 49, 4096, 10), ("b", 50, 4096, 0), ("c", 4, 1000, 5), ("d", 8, 512, 1)]
-NBD = [("a", "c1", "c2", None), ("b", "c2", None, "c3"), ("c", "c1", None, None), ("d", "c9", None, None)]
-CLUSTERS = [("c1", 4), ("c2", 2), ("c3", 1)]
+def _composed(s, d):
+    return config.composed(b.volumes(s, d), b.nbd(s, d), b.clusters(s, d))
 
 
-def _config(s):
-    return (s.createDataFrame(VOLUMES, "volume string, type int, block_size int, size_gib int"), s.createDataFrame(NBD, "volume string, primary_cluster string, template_cluster string, slave_cluster string"),
-            s.createDataFrame(CLUSTERS, "cluster_id string, servers int"))
+def _n(name):
+    return F.when(F.col(name).isNotNull(), F.size(name).cast("bigint")).alias(name)
 
 
 def config_compose(s, d):
-    made = config.storage_type(config.composed(*_config(s)))
-    return made.select("volume", "primary_servers", "template_servers", "slave_servers", "storage", "journal", "template")
+    made = config.storage_type(_composed(s, d))
+    return made.select("volume", _n("primary_servers"), _n("template_servers"), _n("slave_servers"), "storage", "journal", "template")
 
 
 def config_violations(s, d):
-    made = config.violations(config.composed(*_config(s)))
-    return made.select("volume", F.array_join("violations", "; ").alias("violations"))
+    return config.violations(_composed(s, d)).select("volume", F.array_join("violations", "; ").alias("violations"))
 
 
 def config_watch(s, d):
@@ -251,8 +246,8 @@ versions block_sizes dense_numbers"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 B = "b AS (SELECT doc_id AS block_index, text AS content, sha256(text) AS hash FROM documents)"
-#: Bytes as upper-case hex: two digits a byte.
-X = "x AS (SELECT doc_id AS block_index, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) <= 600)"
+#: Blocks of 600 bytes as upper-case hex: two digits a byte.
+X = "x AS (SELECT doc_id * 65536 + o AS block_index, substr(h, CAST(o * 1200 + 1 AS BIGINT), 1200) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range((octet_length(encode(text)) + 599) // 600)) AS o FROM documents WHERE text <> ''))"
 P = X + ", p AS (SELECT block_index, rpad(h, 1200, '0') AS h FROM x)"
 INFLATED = P + ", g AS (SELECT DISTINCT block_index // 4 AS big FROM p), i AS (SELECT big AS block_index, string_agg(coalesce(h, repeat('0', 1200)), '' ORDER BY o) AS h FROM (SELECT big, o, h FROM g CROSS JOIN range(4) t(o) LEFT JOIN p ON p.block_index = big * 4 + o) GROUP BY big)"
 STORES = B + ", e AS (SELECT hash, min(block_index) AS first, min(content) AS content FROM b GROUP BY hash), p AS (SELECT * FROM e WHERE first % 3 = 0), t AS (SELECT * FROM e WHERE first % 2 = 0)"
@@ -261,22 +256,19 @@ JUMP = """WITH RECURSIVE keys AS ({0}), g(key, k, b, j, n) AS (SELECT key, CAST(
 SELECT key, k2, CAST(j AS BIGINT), floor((j + 1) * (2147483648.0::DOUBLE / (CAST(k2 // 8589934592 AS DOUBLE) + 1))), n + 1 FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM g) WHERE j < 13)
 SELECT key, b AS bucket FROM g WHERE j >= 13"""
 _ALIVE = " ".join(f"WHEN {i} THEN {str(a).lower()}" for i, a in enumerate(ALIVE))
-_SERVERS = ", ".join(f"('primary', {i}, '10.0.0.{i}:2000', 0, '{ {2: 'offline', 5: 'rip'}.get(i, 'online') }')" for i in range(13))
-
-
-def _values(rows, alias):
-    def one(x):
-        return "NULL" if x is None else repr(x)
-
-    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) {alias}"
-
-
-_COMPOSED = f"c AS (SELECT v.*, n.pc, p.servers AS primary_servers, t.servers AS template_servers, s.servers AS slave_servers FROM {_values(VOLUMES, 'v(volume, type, block_size, size_gib)')} JOIN {_values(NBD, 'n(volume, pc, tc, sc)')} USING (volume) JOIN {_values(CLUSTERS, 'p(id, servers)')} ON p.id = n.pc LEFT JOIN {_values(CLUSTERS, 't(id, servers)')} ON t.id = n.tc LEFT JOIN {_values(CLUSTERS, 's(id, servers)')} ON s.id = n.sc)"
+#: Servers, clusters and volumes as bindings derives them from supplier and customer.
+SV = """sv AS (SELECT 'n' || s_nationkey AS cluster, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS server_index, CASE WHEN s_suppkey % 13 <> 12 THEN '10.0.0.' || s_suppkey || ':16379' ELSE '' END AS address,
+CAST(s_suppkey % 5 - CASE WHEN s_suppkey % 29 = 28 THEN 9 ELSE 0 END AS INT) AS db, CASE WHEN s_suppkey % 17 = 3 THEN 'rip' WHEN s_suppkey % 4 = 2 THEN 'offline' ELSE 'online' END AS state FROM supplier)"""
+CL = SV + ", cl AS (SELECT cluster AS id, count(*) AS n, bool_or(state <> 'rip' AND (NOT regexp_matches(address, '^[^ :]+:[0-9]{1,5}$') OR db < 0)) AS bad FROM sv GROUP BY 1)"
+VO = """vo AS (SELECT c_custkey AS k, c_name AS volume, [49, 50, 4, 8, 7][c_custkey % 5 + 1] AS type, CASE WHEN c_custkey % 7 = 0 THEN 1000 ELSE 512 * [1, 2, 4, 8][c_custkey % 4 + 1] END AS block_size, CAST(c_custkey % 11 AS INT) AS size_gib, 'n' || c_nationkey AS pc,
+CASE WHEN c_custkey % 3 = 0 THEN 'n' || ((c_nationkey + 1) % 25) END AS tc, CASE WHEN c_custkey % 4 = 0 THEN 'n' || ((c_nationkey + 2) % 25) END AS sc, CASE WHEN c_custkey % 2 = 0 THEN 't' || (c_custkey % 3) END AS tlog FROM customer)"""
+CO = f"{CL}, {VO}, c AS (SELECT vo.*, p.n AS pn, p.bad AS pbad, t.n AS tn, t.bad AS tbad, s.n AS sn, s.bad AS sbad FROM vo JOIN cl p ON p.id = pc LEFT JOIN cl t ON t.id = tc LEFT JOIN cl s ON s.id = sc)"
+RULES = "list_filter([CASE WHEN block_size & (block_size - 1) <> 0 THEN 'block size' END, CASE WHEN size_gib <= 0 THEN 'size' END, CASE WHEN type = 7 THEN 'type' END, CASE WHEN pbad THEN 'primary servers' END, CASE WHEN tc IS NOT NULL AND coalesce(tbad, true) THEN 'template servers' END, CASE WHEN sc IS NOT NULL AND coalesce(sbad, true) THEN 'slave servers' END, CASE WHEN sn < pn THEN 'fewer slave servers than primary servers' END], lambda v: v IS NOT NULL)"
 SQL = {
-    "content_dedup": f"WITH {B} SELECT hash, min(octet_length(encode(content))) AS n_bytes FROM b GROUP BY hash",
+    "content_dedup": f"WITH {B} SELECT hash, min(octet_length(encode(content))) AS n_bytes FROM b WHERE content <> '' GROUP BY hash",
     "dedup_ratio": f"WITH {B} SELECT count(*) AS n_blocks, count(DISTINCT hash) AS n_distinct FROM b",
     "dedup_groups": f"WITH {B} SELECT hash, count(*) AS n, min(block_index) AS first_index FROM b GROUP BY hash HAVING count(*) > 1",
-    "dedup_read": f"WITH {B} SELECT block_index, length(content) AS n_chars FROM b",
+    "dedup_read": f"WITH {B} SELECT block_index, length(content) AS n_chars FROM b WHERE content <> ''",
     "zero_elision": f"WITH {B} SELECT block_index, octet_length(encode(content)) AS n_bytes FROM b WHERE block_index % 3 <> 0 AND content <> ''",
     "template_fallback": f"WITH {STORES} SELECT block_index, b.hash, CASE WHEN p.hash IS NOT NULL THEN 'primary' WHEN t.hash IS NOT NULL THEN 'template' END AS origin, length(coalesce(p.content, t.content)) AS n_chars FROM b LEFT JOIN p USING (hash) LEFT JOIN t USING (hash)",
     "template_copyback": f"WITH {STORES} SELECT hash FROM t WHERE hash NOT IN (SELECT hash FROM p)",
@@ -291,7 +283,7 @@ SQL = {
     "inflate_blocks": f"WITH {INFLATED} SELECT block_index, sha256(h) AS digest FROM i",
     "deflate_blocks": f"WITH {P} SELECT * FROM (SELECT block_index * 6 + o AS block_index, substr(h, CAST(o * 200 + 1 AS BIGINT), 200) AS content FROM p CROSS JOIN range(6) t(o)) WHERE content <> repeat('0', 200)",
     "rechunk_roundtrip": f"WITH {P} SELECT block_index, sha256(h) AS digest FROM p WHERE h <> repeat('0', 1200)",
-    "snapshot_describe": f"WITH {B} SELECT count(*) AS n_blocks, count(*) * 4096 AS snapshot_bytes, (max(block_index) + 1) * 4096 AS volume_bytes, count(DISTINCT hash) AS n_distinct FROM b WHERE block_index % 3 <> 1",
+    "snapshot_describe": f"WITH {B} SELECT count(*) AS n_blocks, count(*) * 4096 AS snapshot_bytes, (max(block_index) + 1) * 4096 AS volume_bytes, count(DISTINCT hash) AS n_distinct FROM b",
     "snapshot_header_rows": f"WITH {B} SELECT block_index, hash FROM b",
     "import_extent": f"WITH {P}, l AS (SELECT * FROM p ORDER BY block_index DESC LIMIT 1) SELECT 'equal' AS \"case\", (block_index + 1) * 600 AS size FROM l UNION ALL SELECT 'larger', (block_index // 4 + 1) * 2400 FROM l UNION ALL SELECT 'smaller', max(block_index * 12 + o + 1) * 50 FROM l CROSS JOIN range(12) t(o) WHERE substr(h, CAST(o * 100 + 1 AS BIGINT), 100) <> repeat('0', 100)",
     "split_requests": f"WITH {REQ}, y AS (SELECT o, n, unnest(range(o // 4096, (o + n - 1) // 4096 + 1)) AS block_index FROM r WHERE n > 0) SELECT block_index, count(*) AS n, CAST(sum(least(o + n, (block_index + 1) * 4096) - greatest(o, block_index * 4096)) AS BIGINT) AS total, min(greatest(o, block_index * 4096) - block_index * 4096) AS least_offset FROM y GROUP BY 1",
@@ -305,10 +297,10 @@ SQL = {
     "jump_hash": f"SELECT key AS event_id, bucket FROM ({JUMP.format('SELECT event_id AS key FROM events')})",
     "clone_reshard": f"WITH {B} SELECT CAST(('0x' || hash[1:2]) AS BIGINT) % 13 AS old_shard, CAST(('0x' || hash[1:2]) AS BIGINT) % 8 AS new_shard, count(*) AS n_blocks FROM b GROUP BY 1, 2",
     "server_state_fold": "WITH e AS (SELECT user_id % 8 AS server_index, CASE WHEN event_id % 997 = 13 THEN 'rip' WHEN event_type = 'error' THEN 'offline' ELSE 'online' END AS state, event_id AS seq FROM events), f AS (SELECT *, coalesce(max(CASE WHEN state = 'rip' THEN 1 ELSE 0 END) OVER (PARTITION BY server_index ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dead FROM e), g AS (SELECT *, lag(state) OVER (PARTITION BY server_index ORDER BY seq) AS b FROM f WHERE dead = 0) SELECT server_index, state, seq FROM g WHERE state IS DISTINCT FROM b",
-    "first_online_server": f"SELECT cluster, arg_min(address, i) FILTER (state = 'online') AS address, count(*) FILTER (state = 'online') AS n_online FROM (VALUES {_SERVERS}) s(cluster, i, address, db, state) GROUP BY 1",
-    "assigned_servers": f"SELECT address, state, count(*) AS n FROM documents JOIN (VALUES {_SERVERS}) s(cluster, i, address, db, state) ON doc_id % 13 = i GROUP BY 1, 2",
-    "config_compose": f"WITH {_COMPOSED} SELECT volume, primary_servers, template_servers, slave_servers, CASE WHEN type & 1 <> 0 THEN 'deduped' ELSE 'nondeduped' END AS storage, type & 16 <> 0 AS journal, type & 32 <> 0 AS template FROM c",
-    "config_violations": f"WITH {_COMPOSED} SELECT volume, array_to_string(list_filter([CASE WHEN volume = '' THEN 'no id' END, CASE WHEN NOT (block_size >= 512 AND block_size & (block_size - 1) = 0) THEN 'block size' END, CASE WHEN size_gib <= 0 THEN 'size' END, CASE WHEN slave_servers < primary_servers THEN 'fewer slave servers than primary servers' END], lambda v: v IS NOT NULL), '; ') AS violations FROM c",
+    "first_online_server": f"WITH {SV} SELECT cluster, arg_min(address, server_index) FILTER (state = 'online') AS address, count(*) FILTER (state = 'online') AS n_online FROM sv GROUP BY 1",
+    "assigned_servers": "SELECT '10.0.0.' || s_suppkey AS address, CASE WHEN s_suppkey % 4 = 2 THEN 'offline' ELSE 'online' END AS state, count(*) AS n FROM documents JOIN supplier ON doc_id % (SELECT count(*) FROM supplier) = s_suppkey GROUP BY 1, 2",
+    "config_compose": f"WITH {CO} SELECT volume, pn AS primary_servers, tn AS template_servers, sn AS slave_servers, CASE WHEN type & 1 <> 0 THEN 'deduped' ELSE 'nondeduped' END AS storage, type & 16 <> 0 AS journal, type & 32 <> 0 AS template FROM c",
+    "config_violations": f"WITH {CO} SELECT volume, array_to_string({RULES}, '; ') AS violations FROM c",
     "config_watch": "SELECT user_id, event_id, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT user_id, event_id, event_type AS value FROM events WHERE event_type <> 'error')) WHERE value IS DISTINCT FROM b",
     "hash_integrity": "SELECT doc_id AS block_index FROM documents WHERE doc_id % 11 = 0",
     "hash_paths": f"WITH {B} SELECT block_index, upper(hash[1:4]) || '/' || upper(hash[5:8]) || '/' || upper(hash[9:]) AS path FROM b",

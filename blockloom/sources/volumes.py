@@ -1,9 +1,12 @@
-"""Sources and sinks: raw images, block tables, journals by day, configuration files."""
+"""Sources and sinks: raw images and records, block tables, journals by day, configuration files; a registry of them by name."""
 
 from __future__ import annotations
 
+import gzip
 import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,33 @@ def read_image(spark: SparkSession, path: str, size: int) -> DataFrame:
     return cut.where(~is_zero(F.col("content")))
 
 
+def write_records(blocks: DataFrame, path: str) -> None:
+    """Gzip files of records as test images have them: the index as decimal digits, zero-padded to 8, then the content. A file a partition."""
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            raw = b"".join(f"{i:08d}".encode() + bytes(c) for i, c in zip(part["block_index"], part["content"], strict=True))
+            yield pd.DataFrame({"content": [gzip.compress(raw, mtime=0)], "n": [len(part)]})
+
+    blocks.select("block_index", "content").mapInPandas(pack, "content binary, n bigint").write.mode("overwrite").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(block_index, content) of gzipped records with contents of `size` bytes: of Parquet files as write_records makes them, else of raw files."""
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for raw in part["content"]:
+                data = gzip.decompress(bytes(raw))
+                if len(data) % (8 + size):
+                    raise ValueError("the file does not hold whole records")
+                at = range(0, len(data), 8 + size)
+                yield pd.DataFrame({"block_index": [int(data[a : a + 8]) for a in at], "content": [data[a + 8 : a + 8 + size] for a in at]})
+
+    raw = spark.read.format("binaryFile").load(path) if path.endswith(".gz") else spark.read.parquet(path)
+    return raw.select("content").mapInPandas(unpack, "block_index bigint, content binary")
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """One directory a volume; zero blocks are not stored."""
     blocks.where(~is_zero(F.col("content"))).write.mode("append").partitionBy("volume").parquet(path)
@@ -66,3 +96,22 @@ def read_config(spark: SparkSession, path: str, kind: str, schema: str) -> DataF
 
 def config_document(kind: str, entries: dict[str, dict]) -> str:
     return json.dumps({kind: entries}, sort_keys=True)
+
+
+_SOURCES: dict[str, Callable] = {}
+
+
+def register(name: str, reader: Callable) -> None:
+    """Makes a reader known by name; a name stands for one reader."""
+    if _SOURCES.setdefault(name, reader) is not reader:
+        raise ValueError(f"{name} is taken")
+
+
+def source(name: str) -> Callable:
+    if name not in _SOURCES:
+        raise KeyError(f"no source {name}; there are {', '.join(sorted(_SOURCES))}")
+    return _SOURCES[name]
+
+
+for _name, _reader in (("image", read_image), ("records", read_records), ("blocks", read_blocks), ("journal", read_journal), ("config", read_config)):
+    register(_name, _reader)

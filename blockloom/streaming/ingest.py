@@ -1,31 +1,40 @@
-"""The journal as a stream: ordered ingestion, segments, replica and metrics. Each has a batch twin in operators/."""
+"""The journal as a stream: ordered ingestion, segments, replica, metrics, status events. Each has a batch twin in operators/."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.journal import replay_onto
-from ..schemas import SEGMENT
+from ..operators.journal import FLUSH_SECONDS, FLUSH_SIZE
+from ..schemas import SEGMENT, SET
 
 ROW = "volume string, seq bigint, block_index bigint, op int, ts bigint, data string"
 COLUMNS = ("volume", "seq", "block_index", "op", "ts", "data")
 
 
-def ordered(stream: DataFrame, most_waiting: int = 100_000) -> DataFrame:
-    """Each volume's rows in exactly sequence order, each once, from 1.
+def ordered(stream: DataFrame, most_waiting: int = 100_000, after: DataFrame | None = None) -> DataFrame:
+    """Each volume's rows in exactly sequence order, each once, from 1, or behind the last flushed one (volume, seq) of `after`.
 
-    A row that comes twice is dropped. A row that comes early waits in state until those before it have come (a receiver with
-    a resending client would drop it instead; a stream can't ask again). More than most_waiting waiting rows fail the query.
+    A row that comes twice, or late, is dropped. A row that comes early waits in state until those before it have come (a receiver
+    with a resending client would drop it instead; a stream can't ask again). More than most_waiting waiting rows fail the query.
     """
+    rows = stream.select(*COLUMNS)
+    if after is None:
+        rows = rows.withColumn("flushed", F.lit(0).cast("bigint"))
+    else:
+        rows = rows.join(after.groupBy("volume").agg(F.max("seq").alias("flushed")), "volume", "left").withColumn("flushed", F.coalesce("flushed", F.lit(0)))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, waiting = (state.get[0], dict(zip(state.get[1], zip(*state.get[2:], strict=True), strict=True))) if state.exists else (1, {})
+        expected, waiting = (state.get[0], dict(zip(state.get[1], zip(*state.get[2:], strict=True), strict=True))) if state.exists else (None, {})
         for part in parts:
+            if expected is None and len(part):
+                expected = int(part["flushed"].iloc[0]) + 1
             for row in part[list(COLUMNS[1:])].itertuples(index=False):
                 if row[0] >= expected:
                     waiting.setdefault(int(row[0]), tuple(row[1:]))
@@ -42,7 +51,37 @@ def ordered(stream: DataFrame, most_waiting: int = 100_000) -> DataFrame:
             yield pd.DataFrame(out, columns=list(COLUMNS))
 
     held = "expected bigint, seqs array<bigint>, idx array<bigint>, ops array<bigint>, tss array<bigint>, datas array<string>"
-    return stream.select(*COLUMNS).groupBy("volume").applyInPandasWithState(step, ROW, held, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("volume").applyInPandasWithState(step, ROW, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def segments(stream: DataFrame, size: int = FLUSH_SIZE, seconds: float | None = FLUSH_SECONDS) -> DataFrame:
+    """(volume, segment_no, first_seq, last_seq, n) of ordered rows: a segment at `size` rows, or when `seconds` of processing time go by without one. The state is what the open segment holds.
+
+    A timer keeps a query running, even one that should end with what is available; without it (seconds None) only full segments are written.
+    """
+    timeout = GroupStateTimeout.NoTimeout if seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, first, n = state.get if state.exists else (0, 0, 0)
+        out = []
+        if state.hasTimedOut:
+            if n:
+                out.append((key[0], number, first, first + n - 1, n))
+                number, n = number + 1, 0
+        else:
+            for seq in sorted(s for part in parts for s in part["seq"].tolist()):
+                first, n = (first, n + 1) if n else (seq, 1)
+                if n == size:
+                    out.append((key[0], number, first, seq, n))
+                    number, n = number + 1, 0
+        state.update((number, first, n))
+        if n and seconds is not None:
+            state.setTimeoutDuration(int(seconds * 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["volume", "segment_no", "first_seq", "last_seq", "n"])
+
+    made = "volume string, segment_no bigint, first_seq bigint, last_seq bigint, n bigint"
+    return stream.select("volume", "seq").groupBy("volume").applyInPandasWithState(step, made, "number bigint, first bigint, n bigint", "append", timeout)
 
 
 def segment_sink(path: str, size: int = SEGMENT) -> Callable[[DataFrame, int], None]:
@@ -55,18 +94,110 @@ def segment_sink(path: str, size: int = SEGMENT) -> Callable[[DataFrame, int], N
     return write
 
 
-def replica_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps a volume's state: version n is version n - 1 with batch n replayed onto it, with the last seq synced."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers n of the complete tables path/n, ascending."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        return []
+    names = [x.getPath() for x in fs.listStatus(fs_path)]
+    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+VERSION = "volume string, block_index bigint, op int, data string, seq bigint"
+
+
+def replica_rows(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest operation of each block of each volume, from the last base and the changes behind it."""
+    base = max((n for n in _versions(spark, f"{path}/base") if upto is None or n <= upto), default=None)
+    parts = [f"{path}/changes/{n}" for n in _versions(spark, f"{path}/changes") if (base is None or n > base) and (upto is None or n <= upto)]
+    parts += [f"{path}/base/{base}"] if base is not None else []
+    rows = spark.read.schema(VERSION).parquet(*parts) if parts else spark.createDataFrame([], VERSION)
+    return rows.groupBy("volume", "block_index").agg(F.max_by(F.struct("op", "data", "seq"), "seq").alias("v")).select("volume", "block_index", "v.*")
+
+
+def replica(spark: SparkSession, path: str) -> DataFrame:
+    """The replica's blocks: volume, block_index, data."""
+    return replica_rows(spark, path).where(F.col("op") == SET).select("volume", "block_index", "data")
+
+
+def synced(spark: SparkSession, path: str) -> DataFrame:
+    """The last seq that the replica has of each volume."""
+    return replica_rows(spark, path).groupBy("volume").agg(F.max("seq").alias("synced"))
+
+
+def replica_sink(path: str, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps a replica of all volumes in the stream.
+
+    A batch writes the last operation of each block that it touches, and nothing else; every compact_every batches changes and
+    base are folded into a new base. A batch that runs again replaces what it wrote.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{path}/state={number - 1}") if number else spark.createDataFrame([], "block_index bigint, data string")
-        replay_onto(state, batch).write.mode("overwrite").parquet(f"{path}/state={number}")
-        batch.groupBy("volume").agg(F.max("seq").alias("synced")).write.mode("overwrite").parquet(f"{path}/synced={number}")
+        last = batch.groupBy("volume", "block_index").agg(F.max_by(F.struct("op", "data", "seq"), "seq").alias("v")).select("volume", "block_index", "v.*")
+        last.select("volume", "block_index", F.col("op").cast("int").alias("op"), "data", "seq").write.mode("overwrite").parquet(f"{path}/changes/{number}")
+        if number and number % compact_every == 0:
+            replica_rows(batch.sparkSession, path, number).write.mode("overwrite").parquet(f"{path}/base/{number}")
 
     return write
 
 
+def replay_with(journal: DataFrame, callback: Callable[[int], None], apply: Callable[[DataFrame], None], start: int = 0, end: int = 0, step: int = 100_000) -> int:
+    """Applies a journal's rows in runs of `step` sequence numbers, and after each run tells the callback the last seq; gives the last seq of all (0: none)."""
+    from ..operators.journal import bounded
+
+    rows = bounded(journal, "seq", start, end)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    if high is None:
+        return 0
+    for a in range(low, high + 1, step):
+        part = rows.where((F.col("seq") >= a) & (F.col("seq") < a + step))
+        apply(part)
+        callback(min(a + step - 1, high))
+    return high
+
+
+def wait_synced(last: Callable[[], int], seq: int, timeout: float = 240.0, every: float = 0.5) -> int:
+    """Waits until last() has reached seq, and gives it; TimeoutError after `timeout` seconds (4 minutes)."""
+    end = time.monotonic() + timeout
+    while (at := last()) < seq:
+        if time.monotonic() >= end:
+            raise TimeoutError(f"synced up to {at} of {seq}")
+        time.sleep(every)
+    return at
+
+
+def stop_all(queries: Iterable[StreamingQuery], timeout: float = 60.0) -> None:
+    """Lets queries take what is there, then stops them; all their errors become one."""
+    errors = []
+    for q in queries:
+        try:
+            if q.isActive:
+                q.processAllAvailable()
+                q.stop()
+                q.awaitTermination(timeout)
+            if q.exception() is not None:
+                errors.append(f"{q.name or q.id}: {q.exception()}")
+        except Exception as e:  # one query's failure must not keep the others running
+            errors.append(f"{q.name or q.id}: {e}")
+    if errors:
+        raise RuntimeError("; ".join(errors))
+
+
+def json_sink(path: str, subject: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes rows as status events: lines of JSON with their subject."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        status_events(batch, subject).write.mode("overwrite").text(f"{path}/{number}")
+
+    return write
+
+
+def status_events(rows: DataFrame, subject: str) -> DataFrame:
+    """(value): one JSON object a row, with the subject first and absent values left out."""
+    return rows.select(F.to_json(F.struct(F.lit(subject).alias("subject"), F.struct(*rows.columns).alias("data"))).alias("value"))
+
+
 def metric_windows(stream: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
     """Rates by tumbling window of event time; rows later than `late` are dropped."""
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -74,14 +205,8 @@ def metric_windows(stream: DataFrame, seconds: int, late: str = "1 minute") -> D
     return made.select(F.unix_seconds("window.start").alias("bucket"), (F.col("n") / F.lit(float(seconds))).alias("iops"), (F.col("total") / 1024.0 / F.lit(float(seconds))).alias("kibs"))
 
 
-def lag(journal: DataFrame, synced: DataFrame) -> DataFrame:
+def lag(journal: DataFrame, synced_: DataFrame) -> DataFrame:
     """How far each volume's replica is behind its journal."""
     head = journal.groupBy("volume").agg(F.max("seq").alias("last_seq"))
-    at = synced.groupBy("volume").agg(F.max("synced").alias("synced"))
+    at = synced_.groupBy("volume").agg(F.max("synced").alias("synced"))
     return head.join(at, "volume", "left").select("volume", "last_seq", F.coalesce("synced", F.lit(0)).alias("synced"), (F.col("last_seq") - F.coalesce("synced", F.lit(0))).alias("lag"))
-
-
-def latest_versions(rows: DataFrame, *keys: str) -> DataFrame:
-    """Compaction of appended versions: the newest row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.col("seq").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import codecs, hashing, sharding, values
@@ -174,3 +175,131 @@ def test_seq_bound_reaches_the_scan(spark, sf_dir):
     rows = journal.bounded(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"), "event_id", 5, 9)
     plan = rows._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(event_id,5)" in plan and "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
+def arrivals(spark, seqs):
+    return spark.createDataFrame([("v", s, i) for i, s in enumerate(seqs)] + [("w", 1, 0)], "volume string, seq bigint, arrival bigint")
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 1, 2, 3])
+@pytest.mark.parametrize(
+    ("seqs", "verdicts"),
+    [
+        ([1, 3, 2, 3], "accept early accept accept"),
+        ([1, 2, 2, 1, 3], "accept accept duplicate duplicate accept"),
+        ([2, 3, 1, 4, 2, 3, 4], "early early accept early accept accept accept"),
+        ([0, None, 1, 1], "duplicate None accept duplicate"),
+    ],
+)
+def test_arrivals(spark, seqs, verdicts, chunk):
+    got = journal.accepted(arrivals(spark, seqs), chunk=chunk)
+    assert [str(r.verdict) for r in got.where("volume = 'v'").orderBy("arrival").collect()] == verdicts.split()
+    assert got.where("volume = 'w' AND verdict = 'accept'").count() == 1 and got.columns == ["volume", "seq", "arrival", "verdict"]
+
+
+def test_numbers_are_dense_when_written(spark, tmp_path):
+    n = 2_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("x"))
+    journal.numbered(rows, "x", "n", 8).write.parquet(str(tmp_path / "numbered"))
+    got = spark.read.parquet(str(tmp_path / "numbered"))
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (n, 1, n)
+    assert got.select("n", F.lag("x").over(Window.orderBy("n")).alias("b"), "x").where("b > x").isEmpty()
+
+
+def test_neighbours_without_a_partition(spark):
+    """A5's fixture: adjacent repeats of 1, 1, 4, 2, 2, 2, 3."""
+    rows = spark.createDataFrame(list(enumerate([1, 1, 4, 2, 2, 2, 3])), "i bigint, x bigint")
+    assert [r.x for r in journal.adjacent_unique(rows, "x", "i").orderBy("i").collect()] == [1, 4, 2, 3]
+    assert [tuple(r) for r in journal.gaps(spark.createDataFrame([(1,), (2,), (6,), (7,)], "seq bigint")).collect()] == [(2, 6, 3)]
+
+
+def test_forced_flush_waits_for_its_row(spark):
+    """A flush asked for at row 5 comes when row 5 does; the timer runs from the first row and from every flush on."""
+    rows = spark.createDataFrame([("v", i, float(t)) for i, t in enumerate([0, 1, 2, 3, 4, 5, 40, 41, 42], 1)], "volume string, seq bigint, ts double")
+    force = spark.createDataFrame([("v", 5)], "volume string, seq bigint")
+
+    def made(**more):
+        return sorted((r.first_seq, r.last_seq) for r in journal.flushed(rows, 25, 25, **more).collect())
+
+    assert made() == [(1, 6), (7, 9)] and made(forced=force) == [(1, 5), (6, 6), (7, 9)]
+    assert made(after=spark.createDataFrame([("v", 2)], "volume string, seq bigint")) == [(3, 6), (7, 9)]
+    assert sorted((r.first_seq, r.n) for r in journal.flushed(rows, 2, 25).collect()) == [(1, 2), (3, 2), (5, 2), (7, 2), (9, 1)]
+
+
+def test_catching_up_checks_the_end(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "a"), (2, 2, 1, "b"), (3, 1, 2, None)], "seq bigint, block_index bigint, op int, data string")
+    state = spark.createDataFrame([(1, "a")], "block_index bigint, data string")
+    assert [tuple(r) for r in journal.caught_up(state, rows, 1, 3).collect()] == [(2, "b")]
+    with pytest.raises(ValueError, match="end at 4"):
+        journal.caught_up(state, rows, 1, 4)
+
+
+def test_overlay_store(spark):
+    """A bit is never unset: after a delete the template's block does not come back."""
+    base, over, none = (spark.createDataFrame(x, "block_index bigint, content string") for x in ([(1, "a"), (2, "b")], [], []))
+    base, over, touched = store.overlay_write(base, over, none.select("block_index"), spark.createDataFrame([(2, "x")], "block_index bigint, content string"))
+    gone = spark.createDataFrame([(2,), (1,)], "block_index bigint")
+    assert {r.block_index for r in base.collect()} == {1} and {tuple(r) for r in over.collect()} == {(2, "x")} and {r.block_index for r in touched.collect()} == {2}
+    base, over = store.overlay_delete(base, over, touched, gone)
+    assert base.isEmpty() and over.isEmpty() and touched.count() == 1
+
+
+def test_bitmaps(spark):
+    rows = spark.createDataFrame([(i,) for i in (0, 63, 64, 1000, 32_768, 2**40)], "block_index bigint")
+    back = store.from_bitmap(store.bitmap_of_bytes(store.bitmap_bytes(store.to_bitmap(rows), 4), 4))
+    assert sorted(r.block_index for r in back.collect()) == [0, 63, 64, 1000, 32_768, 2**40]
+
+
+def test_shards_with_few_servers_alive(spark):
+    alive = [i == 41 for i in range(64)]
+    assert {r.s for r in spark.range(500).select(sharding.shard_by_index(F.col("id"), alive).alias("s")).collect()} == {41}
+
+
+def test_erasure_codes():
+    rng = random.Random(6)
+    for k, m in ((1, 1), (4, 2), (16, 4), (3, 5)):
+        code = codecs.Erasure(k, m)
+        for size in (0, 1, 17, 400):
+            content = rng.randbytes(size)
+            shards = code.encode(content)
+            lost = rng.sample(range(k + m), m)
+            assert len(shards) == k + m and code.decode([None if i in lost else s for i, s in enumerate(shards)]) == content
+    with pytest.raises(ValueError, match="too few"):
+        codecs.Erasure(4, 2).decode([None] * 3 + code.encode(b"x")[:3])
+
+
+def test_totals_and_counts_of_copies(spark):
+    rows = spark.range(300).select(F.col("id").alias("block_index"))
+    made = cluster.copied_counts(cluster.cloned(rows, 3, 2, 128), 128)
+    assert sorted(map(tuple, made.collect())) == [(0, 0, 1), (1, 1, 1), (2, 0, 1)] and cluster.total(made).first().n == 3
+    with pytest.raises(Exception, match="nothing was copied"):
+        cluster.total(made.where("false")).collect()
+    assert [cluster.clone_case(3, x) for x in (None, 3, 4)] == ["same cluster", "same count", "reshard"]
+
+
+def test_sources_by_name():
+    assert volumes.source("image") is volumes.read_image
+    with pytest.raises(KeyError, match="no source ftp"):
+        volumes.source("ftp")
+    with pytest.raises(ValueError, match="taken"):
+        volumes.register("image", volumes.read_blocks)
+
+
+def test_default_snapshot_id_and_clock(spark):
+    import time
+
+    r = spark.range(1).select(snapshot.snapshot_id(F.lit("v")).alias("s"), values.now_ns().alias("t")).first()
+    assert abs(int(r.s.split("_")[1]) - time.time()) < 60 and abs(r.t / 1e9 - time.time()) < 60
+
+
+def test_blocks_that_are_too_long_fail(spark):
+    with pytest.raises(Exception, match="more than 4 bytes"):
+        spark.range(1).select(addressing.merge_write(F.lit(b"abcde"), F.lit(b"x"), F.lit(0), 4)).collect()
+
+
+def test_header_that_does_not_fit_fails(spark):
+    map_ = spark.createDataFrame([(i, f"h{i}") for i in (1, 70_000, 3)], "block_index bigint, hash string")
+    made = snapshot.header(map_, "s", 4096, "v", 1)
+    assert made.count() == 2 and {tuple(r) for r in snapshot.header_rows(made).collect()} == {tuple(r) for r in map_.collect()}
+    with pytest.raises(Exception, match="invalid header"):
+        snapshot.header_rows(made.withColumn("map", F.col("map").withField("c", F.lit(9)))).collect()

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from blockloom.operators import journal, metrics
@@ -36,14 +37,72 @@ def test_ordered_ingestion_and_segments(spark, tmp_path):
 
 
 def test_replica_follows(spark, tmp_path):
-    rows = [r for r in rows_of(60) if r[0] == "a"]
+    rows = rows_of(60)
     out = str(tmp_path / "replica")
-    q = ingest.ordered(feed(spark, tmp_path, rows)).writeStream.foreachBatch(ingest.replica_sink(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = ingest.ordered(feed(spark, tmp_path, rows)).writeStream.foreachBatch(ingest.replica_sink(out, 2)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"]
     table = spark.createDataFrame(rows, ingest.ROW)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/state={last}").select("block_index", "data").collect()) == sorted(tuple(r) for r in journal.replay(table).select("block_index", "data").collect())
-    assert ingest.lag(table, spark.read.parquet(f"{out}/synced=*")).first().lag == 0
+    want = sorted(tuple(r) for r in journal.replay(table, "volume").select("volume", "block_index", "data").collect())
+    assert sorted(tuple(r) for r in ingest.replica(spark, out).collect()) == want
+    assert {r.lag for r in ingest.lag(table, ingest.synced(spark, out)).collect()} == {0}
+    assert ingest._versions(spark, f"{out}/base") and ingest._versions(spark, f"{out}/nothing") == []
+    ingest.replica_sink(out, 2)(table.where("seq > 55"), 3)  # the same rows once more change nothing
+    assert sorted(tuple(r) for r in ingest.replica(spark, out).collect()) == want
+
+
+def test_resumed_receiver_and_segments(spark, tmp_path):
+    rows = rows_of(60)
+    after = spark.createDataFrame([("a", 20)], "volume string, seq bigint")
+    q = ingest.ordered(feed(spark, tmp_path, rows), after=after).writeStream.format("memory").queryName("resumed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.volume, r.seq) for r in spark.table("resumed").collect()) == sorted((r[0], r[1]) for r in rows if r[0] == "b" or r[1] > 20)
+    folder = str(tmp_path / "ordered")
+    spark.createDataFrame(rows, ingest.ROW).coalesce(1).write.parquet(folder)
+    q = ingest.segments(spark.readStream.schema(ingest.ROW).parquet(folder), 25, None).writeStream.format("memory").queryName("segments").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("segments").collect())) == [(v, n, 25 * n + 1, 25 * n + 25, 25) for v in "ab" for n in (0, 1)]
+
+
+def test_segment_timer(spark, tmp_path):
+    """A segment that is not full is written when its time is over."""
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows_of(3), ingest.ROW).coalesce(1).write.parquet(folder)
+    q = ingest.segments(spark.readStream.schema(ingest.ROW).parquet(folder), 25, 0.5).writeStream.format("memory").queryName("timed").trigger(processingTime="200 milliseconds").start()
+    ingest.wait_synced(lambda: spark.table("timed").count(), 2, 60)
+    ingest.stop_all([])
+    q.stop()
+    assert sorted(map(tuple, spark.table("timed").collect())) == [("a", 0, 1, 3, 3), ("b", 0, 1, 3, 3)]
+
+
+def test_waiting_and_stopping(spark, tmp_path):
+    seen = iter(range(10))
+    assert ingest.wait_synced(lambda: next(seen), 3, 5, 0) == 3
+    with pytest.raises(TimeoutError, match="up to 2 of 9"):
+        ingest.wait_synced(lambda: 2, 9, 0.01, 0.001)
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows_of(3), ingest.ROW).write.parquet(folder)
+
+    def fails(batch, number):
+        raise ValueError("no room")
+
+    stream = spark.readStream.schema(ingest.ROW).parquet(folder)
+    good = stream.writeStream.format("memory").queryName("good").start()
+    bad = stream.writeStream.foreachBatch(fails).queryName("bad").start()
+    with pytest.raises(RuntimeError, match=r"(?s)bad: .*no room"):
+        ingest.stop_all([good, bad])
+    assert not good.isActive and spark.table("good").count() == 6
+
+
+def test_replay_tells_how_far_it_is(spark):
+    told, taken = [], []
+    rows = spark.createDataFrame(rows_of(60), ingest.ROW).where("volume = 'a'")
+    last = ingest.replay_with(rows, told.append, lambda part: taken.append(part.count()), 5, 50, 20)
+    assert (last, told, taken) == (50, [24, 44, 50], [20, 20, 6]) and ingest.replay_with(rows, told.append, taken.append, 99) == 0
+
+
+def test_status_lines(spark, tmp_path):
+    ingest.json_sink(str(tmp_path / "status"), "volume")(spark.createDataFrame([(1, "a"), (2, None)], "n int, s string"), 0)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "status/0")).collect()) == ['{"subject":"volume","data":{"n":1,"s":"a"}}', '{"subject":"volume","data":{"n":2}}']
 
 
 def test_metric_windows(spark, tmp_path, sf_dir):
