@@ -11,17 +11,15 @@ of each window matters, and that lets almost everything be settled before it mov
 1. In a batch, the super-k-mers of equal words are grouped. Those of any but the least id are wholly removed, at once. The
    group travels as one copy of its words with the places where the least id holds it, packed (zstd) with others of its bucket.
 2. A bucket finds the least id of each window and gives runs of removed windows, by document.
-3. The documents meet their runs in one join by id; words covered by a run go.
+3. The documents meet their runs in one join by id and text; words covered by a run go.
 
 Skew: exact copies and passages shared by many documents are equal super-k-mers, of which a bucket gets one from each batch
-at most. Windows that reach over the edge of a shared passage differ from document to document but share its minimiser. A
-minimiser with more than half a bucket's fair share of all super-k-mers (so two of them a bucket at most, which bounds the
-list by the number of partitions) is therefore
-left out of the buckets: its windows travel singly, as 128-bit hashes, and are settled by a window function over the
-hash, which spreads them. A bucket that holds more than `CHUNK` windows hands its windows on in the same form.
+at most. Windows that reach over the edge of a shared passage differ from document to document but share its minimiser;
+if too many do, longer grams take over (see `minimisers`).
 
 Defined results: null or empty text has no words; fewer than k words: nothing is removed; rows with a null id are neither
-judged nor counted as sources; rows that repeat an id count as one document for the comparison, and each comes back.
+judged nor counted as sources; rows that repeat an id never remove each other's words, whether their texts are equal or not,
+each is judged against smaller ids, and each comes back.
 """
 
 from __future__ import annotations
@@ -32,67 +30,72 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import MIX_1, PHI, _tables, documents, gram_hashes, joined, mix, pieces, spans, table, utf8, word_hashes
+from .minimisers import FULL, RANGE, counting, frequent, levels, ranges, tagged, to_bytes, window_min, with_runs
 
 K = 50
 M = 5
-HOT_SHARE = 2
-CHUNK = 3_000_000
 PACK_BYTES = 1 << 18
 HELD_BYTES = 16 << 20
+SETTLE_WINDOWS = 1_000_000
 BLOCK = 4000
 
 
-def _window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive entries, by doubling."""
-    have, span = x, 1
-    while span * 2 <= w:
-        have = np.minimum(have[:-span], have[span:])
-        span *= 2
-    rest = w - span
-    return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
-
-
 class Cut:
-    """The super-k-mers of a batch of texts: arrays over super-k-mers `doc` (row), `first` (word in the document), `n` (windows), `mini`, `start` and `end` (bytes of the batch)."""
+    """The super-k-mers of a batch of texts: arrays over super-k-mers `doc` (row), `first` (word in the document), `n` (windows), `key`, `level`, `start` and `end` (bytes of the batch)."""
 
-    def __init__(self, texts: list[bytes], k: int, m: int):
+    def __init__(self, texts: list[bytes], hot: np.ndarray, k: int, lengths: list[int]):
         self.data, at = joined(texts)
         self.starts, self.ends = spans(self.data)
         bounds = np.searchsorted(self.starts, at)  # words of row i: bounds[i] .. bounds[i + 1]
-        self.bounds = bounds
-        words = word_hashes(self.data, self.starts, self.ends)
-        self.words = words
+        self.words = words = word_hashes(self.data, self.starts, self.ends)
+        self.k = k
         n_win = len(words) - k + 1
         if n_win <= 0:
-            self.doc = self.first = self.n = self.start = self.end = np.zeros(0, dtype=np.int64)
-            self.mini = np.zeros(0, dtype=np.uint64)
+            self.doc = self.first = self.n = self.start = self.end = self.word = self.level = np.zeros(0, dtype=np.int64)
+            self.key = self.mark = np.zeros(0, dtype=np.uint64)
             return
-        mini = _window_min(gram_hashes(words, m), k - m + 1)
         row = np.repeat(np.arange(len(texts)), np.diff(bounds))
         whole = row[:n_win] == row[k - 1 :]
-        cut = np.ones(n_win, dtype=bool)
-        cut[1:] = (mini[1:] != mini[:-1]) | (whole[1:] != whole[:-1]) | (row[1:n_win] != row[: n_win - 1])
+        key, level = self._least(lengths[0]), np.zeros(n_win, dtype=np.int8)
+        self._split(key, level, whole, row)
+        for i, m in enumerate(lengths[1:], 1):
+            again = np.isin(self.key, hot) & (self.level == i - 1) if len(hot) else np.zeros(1, dtype=bool)
+            if not again.any():
+                break
+            windows = np.repeat(self.word[again], self.n[again]) + counting(self.n[again])
+            key[windows] = mix(self._least(m)[windows] + np.uint64(i) * PHI)
+            level[windows] = i
+            self._split(key, level, whole, row)
+        self.doc = row[self.word]
+        self.first = self.word - bounds[self.doc]
+        self.start, self.end = self.starts[self.word], self.ends[self.word + self.n + k - 2]
+
+    def _least(self, m: int) -> np.ndarray:
+        return window_min(gram_hashes(self.words, m), self.k - m + 1)
+
+    def _split(self, key: np.ndarray, level: np.ndarray, whole: np.ndarray, row: np.ndarray) -> None:
+        cut = np.ones(len(key), dtype=bool)
+        cut[1:] = (key[1:] != key[:-1]) | (level[1:] != level[:-1]) | (whole[1:] != whole[:-1]) | (row[1 : len(key)] != row[: len(key) - 1])
         begin = np.flatnonzero(cut)
-        n = np.diff(np.append(begin, n_win))
-        begin, n = begin[whole[begin]], n[whole[begin]]
-        self.doc, self.first, self.n, self.mini = row[begin], begin - bounds[row[begin]], n, mini[begin]
-        self.word = begin
-        self.start, self.end = self.starts[begin], self.ends[begin + n + k - 2]
+        n = np.diff(np.append(begin, len(key)))
+        keep = whole[begin]
+        self.word, self.n = begin[keep], n[keep]
+        self.key, self.level = key[self.word], level[self.word].astype(np.int64)
+        self.mark = self.words[self.word] + self.n.astype(np.uint64)
 
     def packed(self, i: int) -> bytes:
         """The words of super-k-mer i, with one space between."""
         raw = self.data[self.start[i] : self.end[i]].tobytes()
         return b" ".join(raw.split())
 
-    def keys(self, k: int) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """Two independent 64-bit hashes of each super-k-mer's words (and their number)."""
         up, down = _tables(len(self.words) + 1)
         out = np.zeros((len(self.doc), 2), dtype=np.uint64)
-        last = self.word + self.n + k - 1
+        last = self.word + self.n + self.k - 1
         for j, salted in enumerate((self.words, mix(self.words ^ PHI))):
             run = np.zeros(len(salted) + 1, dtype=np.uint64)
             np.cumsum(salted * up[: len(salted)], out=run[1:])
@@ -114,137 +117,47 @@ def window_keys(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-
-
-def hot_minimisers(df: DataFrame, minimisers, buckets: int) -> np.ndarray:
-    """Minimisers that hold over 1/HOT_SHARE of a bucket's fair share of strings, sorted; minimisers(texts) gives those of a batch.
-
-    A task reports its own frequent ones (at most 2 * HOT_SHARE * buckets), so the driver sees a bounded list. Which minimisers
-    are listed decides where windows are compared, never what is found.
-    """
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [minimisers(utf8(batch.column("text"))) for batch in pieces(batches, "text")]
-        if not found:
-            return
-        mini, n = np.unique(np.concatenate(found), return_counts=True)
-        often = n >= max(2, n.sum() // (2 * HOT_SHARE * buckets))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *signed(mini[often]).tolist()], pa.int64()), pa.array([n.sum(), *n[often]], pa.int64())], ["mini", "n"])
-
-    counted = table(_rows(df).mapInArrow(frequent, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")), "hot-minimisers")
-    total = counted.where("mini IS NULL").agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // (HOT_SHARE * buckets))
-    return np.array(sorted(r.mini for r in counted.where(F.col("mini").isNotNull() & (F.col("n") > limit)).collect()), dtype=np.int64).view(np.uint64)
-
-
-RANGE = "doc_id long, first long, n long, w1 long, w2 long, places array<long>"
-
-
-_NAMES = ["doc_id", "first", "n", "w1", "w2", "places"]
-
-
-def _ranges(doc, first, n) -> pa.RecordBatch:
-    """Runs of removed windows."""
-    none = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, dtype=np.int64)) for x in (doc, first, n)), none, none, pa.nulls(len(doc), pa.list_(pa.int64()))], _NAMES)
-
-
-def _open(doc: np.ndarray, first: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Windows that are still to be settled: one row for each window and document, with all its places there."""
-    order = np.lexsort((first, doc, keys[:, 1], keys[:, 0]))
-    doc, first, keys = doc[order], first[order], keys[order]
-    head = np.ones(len(doc), dtype=bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
-    at = np.flatnonzero(head)
-    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(first, pa.int64()))
-    none = pa.nulls(len(at), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), none, none, *(pa.array(signed(np.ascontiguousarray(keys[at, j]))) for j in (0, 1)), places], _NAMES)
-
-
-def runs_of(found: DataFrame, gone) -> DataFrame:
-    """(doc_id, runs): arrays of (first, n) of the removed windows, settled ones and those open ones for which `gone` holds."""
-    one = F.array(F.struct("first", "n"))
-    settled = found.where("w1 IS NULL").select("doc_id", one.alias("runs"))
-    many = F.transform("places", lambda p: F.struct(p.alias("first"), F.lit(1).cast("long").alias("n")))
-    return settled.union(found.where("w1 IS NOT NULL").withColumn("gone", gone).where("gone").select("doc_id", many.alias("runs")))
-
-
-def _merged(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Runs that touch become one."""
-    order = np.lexsort((first, doc))
-    doc, first, n = doc[order], first[order], n[order]
-    head = np.ones(len(doc), dtype=bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
-    return _ranges(doc[head], first[head], np.add.reduceat(n, np.flatnonzero(head)) if len(n) else n)
-
-
-def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
-    zip_level = 3
-
+def _packer(k: int, lengths: list[int], buckets: int, hot: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         sizes: dict[int, int] = {}
-        zip_ = zstandard.ZstdCompressor(level=zip_level)
-
-        def row(b: int, places: np.ndarray, texts: bytes | None, settled: pa.RecordBatch | None = None) -> pa.RecordBatch:
-            more = None
-            if settled is not None:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, settled.schema) as w:
-                    w.write_batch(settled)
-                more = zip_.compress(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int64()), pa.array([None if texts is None else zip_.compress(places.tobytes())], pa.binary()), pa.array([texts and zip_.compress(texts)], pa.binary()), pa.array([more], pa.binary())], ["bucket", "places", "texts", "settled"]
-            )
+        zip_ = zstandard.ZstdCompressor(level=3)
+
+        def row(b: int, places: bytes | None, texts: bytes | None, settled: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x and zip_.compress(x)], pa.binary()) for x in (places, texts, settled))], ["bucket", "places", "texts", "settled"])
 
         def flush(b: int) -> pa.RecordBatch:
             texts, places = held.pop(b)
             sizes.pop(b)
-            return row(b, np.array(places, dtype=np.int64), b"\n".join(texts))
+            return row(b, np.array(places, dtype=np.int64).tobytes(), b"\n".join(texts), None)
 
         for number, batch in enumerate(pieces(batches, "text")):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            cut = Cut(utf8(batch.column("text")), k, m)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "tag"))
+            cut = Cut(utf8(batch.column("text")), hot, k, lengths)
             if not len(cut.doc):
                 continue
-            keys, owner = cut.keys(k), ids[cut.doc]
+            keys, owner = cut.hashes(), ids[cut.doc]
             order = np.lexsort((cut.first, owner, keys[:, 1], keys[:, 0]))
-            keys, owner = keys[order], owner[order]
+            keys, owner, tag = keys[order], owner[order], tags[cut.doc[order]]
             fresh = np.ones(len(order), dtype=bool)
             fresh[1:] = (keys[1:] != keys[:-1]).any(axis=1)
             group = np.cumsum(fresh) - 1
-            least = owner[np.flatnonzero(fresh)][group]
-            late = owner > least
-            is_hot = np.isin(cut.mini[order], hot)
-            out = []
+            late = owner > owner[np.flatnonzero(fresh)][group]
             if late.any():
                 i = order[late]
-                out.append(_merged(owner[late], cut.first[i], cut.n[i]))
-            single = is_hot & ~late
-            if single.any():
-                i = order[single]
-                word = np.repeat(cut.word[i], cut.n[i]) + _counting(cut.n[i])
-                first = np.repeat(cut.first[i], cut.n[i]) + _counting(cut.n[i])
-                out.append(_open(np.repeat(owner[single], cut.n[i]), first, window_keys(cut.words, k)[word]))
-            for part in out:
-                yield row(int((number * 7919 + ids[0]) % buckets), None, None, part)
-            buckets_of = (mix(cut.mini[order]) % np.uint64(buckets)).astype(np.int64)
-            go = np.flatnonzero(~late & ~is_hot)
+                yield row(int((number * 7919 + ids[0]) % buckets), None, None, to_bytes(ranges(owner[late], tag[late], cut.first[i], cut.n[i])))
+            go = np.flatnonzero(~late)
+            buckets_of = (mix(cut.key[order[go]]) % np.uint64(buckets)).astype(np.int64)
             last = -1
-            for g, i, d, f, b in zip(group[go].tolist(), order[go].tolist(), owner[go].tolist(), cut.first[order[go]].tolist(), buckets_of[go].tolist(), strict=True):
+            for g, i, d, t, f, b in zip(group[go].tolist(), order[go].tolist(), owner[go].tolist(), tag[go].tolist(), cut.first[order[go]].tolist(), buckets_of.tolist(), strict=True):
                 texts, places = held.setdefault(b, ([], []))
                 if g != last or not texts:
                     text = cut.packed(i)
                     texts.append(text)
                     sizes[b] = sizes.get(b, 0) + len(text)
                     last = g
-                places += (len(texts) - 1, d, f)
+                places += (len(texts) - 1, d, t, f)
+                sizes[b] += 32
                 if sizes[b] >= PACK_BYTES:
                     yield flush(b)
             if sum(sizes.values()) > HELD_BYTES:
@@ -256,81 +169,68 @@ def _packer(k: int, m: int, buckets: int, hot: np.ndarray):
     return pack
 
 
-def _counting(n: np.ndarray) -> np.ndarray:
-    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _judge(k: int, chunk: int):
-    def settle(texts: list[bytes], places: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-        hashes, numbers = [], []
-        for a in range(0, len(texts), BLOCK):  # few bytes at a time; only the words' hashes stay
-            data, at = joined(texts[a : a + BLOCK])
-            starts, ends = spans(data)
-            hashes.append(word_hashes(data, starts, ends))
-            numbers.append(np.diff(np.searchsorted(starts, at)))
-        words, per = np.concatenate(hashes), np.concatenate(numbers)
-        bounds = np.cumsum(per) - per
-        per = per - k + 1
-        text, owner, first = places.T
-        n = per[text]
-        place = _counting(n)
-        word = np.repeat(bounds[text], n) + place
-        doc, place = np.repeat(owner, n), np.repeat(first, n) + place
-        keys = window_keys(words, k)[word]
-        if not whole:
-            for a in range(0, len(doc), 500_000):
-                s = slice(a, a + 500_000)
-                yield _open(doc[s], place[s], keys[s])
-            return
-        order = np.lexsort((doc, keys[:, 1], keys[:, 0]))
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
-        heads = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-        gone = np.flatnonzero(doc[order] > doc[order[heads]])
-        left, right = word[order[gone]], word[order[heads[gone]]]
-        for j in range(k):  # equal hashes: compare the words
-            if not np.array_equal(words[left + j], words[right + j]):
-                raise ArithmeticError("two different windows have one 128-bit hash")
-        if len(gone):
-            yield _merged(doc[order[gone]], place[order[gone]], np.ones(len(gone), dtype=np.int64))
-
+def settle(texts: list[bytes], places: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The removed windows of some buckets; places: text, doc_id, tag, first of each super-k-mer."""
+    hashes, numbers = [], []
+    for a in range(0, len(texts), BLOCK):  # few bytes at a time; only the words' hashes stay
+        data, at = joined(texts[a : a + BLOCK])
+        starts, ends = spans(data)
+        hashes.append(word_hashes(data, starts, ends))
+        numbers.append(np.diff(np.searchsorted(starts, at)))
+    words, per = np.concatenate(hashes), np.concatenate(numbers)
+    bounds = np.cumsum(per) - per
+    text, owner, tag, first = places.T
+    n = (per - k + 1)[text]
+    string, place = np.repeat(np.arange(len(n)), n), counting(n)
+    word = bounds[text][string] + place
+    doc = owner[string]
+    keys = window_keys(words, k)[word]
+    order = np.lexsort((doc, keys[:, 1], keys[:, 0]))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    heads = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    gone = np.flatnonzero(doc[order] > doc[order[heads]])
+    left, right = word[order[gone]], word[order[heads[gone]]]
+    for j in range(k):  # equal hashes: compare the words
+        if not np.array_equal(words[left + j], words[right + j]):
+            raise ArithmeticError("two different windows have one 128-bit hash")
+    if len(gone):
+        i = order[gone]
+        yield ranges(doc[i], tag[string[i]], first[string[i]] + place[i], np.ones(len(gone), dtype=np.int64))
+
+
+def _judge(k: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        texts, places, windows, whole, bucket = [], [], 0, True, None
+        texts, places, windows, bucket = [], [], 0, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                if (b := batch.column("bucket")[i].as_py()) != bucket:
-                    if texts:
-                        yield from settle(texts, np.concatenate(places), whole)
-                    texts, places, windows, whole, bucket = [], [], 0, True, b
-                more, a, b = (batch.column(c)[i].as_py() for c in ("settled", "places", "texts"))
+            for b, more, a, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "settled", "places", "texts")), strict=True):
+                if b != bucket and windows > SETTLE_WINDOWS:
+                    yield from settle(texts, np.concatenate(places), k)
+                    texts, places, windows = [], [], 0
+                bucket = b
                 if more:
                     yield from pa.ipc.open_stream(unzip.decompress(more))
                     continue
-                part = unzip.decompress(b).split(b"\n")
-                place = np.frombuffer(unzip.decompress(a), dtype=np.int64).reshape(-1, 3) + [len(texts), 0, 0]
-                texts += part
-                places.append(place)
+                part = unzip.decompress(packed).split(b"\n")
+                place = np.frombuffer(unzip.decompress(a), dtype=np.int64).reshape(-1, 4)
                 windows += int(sum(p.count(b" ") for p in part)) - (k - 2) * len(part)
-                if windows > chunk:
-                    whole = False
-                    yield from settle(texts, np.concatenate(places), False)
-                    texts, places, windows = [], [], 0
+                places.append(place + [len(texts), 0, 0, 0])
+                texts += part
         if texts:
-            yield from settle(texts, np.concatenate(places), whole)
+            yield from settle(texts, np.concatenate(places), k)
 
     return judge
 
 
-def removed_windows(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, runs): runs (first, n) of windows, by their first word, that also start in a document with a smaller id."""
+def removed_windows(df: DataFrame, k: int = K, m: int = M, hot_least: int | None = None) -> DataFrame:
+    """(doc_id, tag, first, n): runs of windows, by their first word, that also start in a document with a smaller id."""
     parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
-    hot = hot_minimisers(df, lambda texts: Cut(texts, k, m).mini, buckets)
-    packed = _rows(df).mapInArrow(_packer(k, m, buckets, hot), "bucket long, places binary, texts binary, settled binary")
-    found = table(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k, chunk), RANGE), "op3-runs")
-    return runs_of(found, F.col("doc_id") > F.min("doc_id").over(Window.partitionBy("w1", "w2")))
+    rows, lengths = tagged(df), levels(k, m)
+    hot, total = frequent(rows, lambda texts, hot: Cut(texts, hot, k, lengths), lengths, parts, hot_least)
+    buckets = max(4 * parts, total // FULL)
+    packed = rows.mapInArrow(_packer(k, lengths, buckets, hot), "bucket long, places binary, texts binary, settled binary")
+    return table(packed.repartition(max(parts, buckets // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(k), RANGE), "op3-runs")
 
 
 def kept_words(text: bytes, runs: list[tuple[int, int]], k: int) -> tuple[int, list[bytes]]:
@@ -346,13 +246,7 @@ def kept_words(text: bytes, runs: list[tuple[int, int]], k: int) -> tuple[int, l
     return len(words), [words[i] for i in np.flatnonzero(cover == 0)]
 
 
-def with_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows (all columns) with their runs, as the last column."""
-    by_doc = runs.groupBy(F.col("doc_id").alias("_run_doc")).agg(F.flatten(F.collect_list("runs")).alias("_runs"))
-    return df.join(by_doc, df["doc_id"] == by_doc["_run_doc"], "left").drop("_run_doc")
-
-
-def digest(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def digest(df: DataFrame, k: int = K, m: int = M, hot_least: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
     rows = df.select("doc_id", "text")
 
@@ -364,7 +258,7 @@ def digest(df: DataFrame, k: int = K, m: int = M, buckets: int | None = None, ch
                 out.append((d, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_runs(rows, removed_windows(rows, k, m, buckets, chunk)).mapInArrow(compute, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_runs(rows, removed_windows(rows, k, m, hot_least)).mapInArrow(compute, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(df: DataFrame, k: int = K, m: int = M) -> DataFrame:

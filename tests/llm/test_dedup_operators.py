@@ -1,13 +1,17 @@
-"""Duplicates of three kinds against brute force, with groups, ties, hot keys and small chunks."""
+"""Duplicates of three kinds against brute force, with groups, ties and hot keys."""
 
 import collections
 import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from blockloom.llm import components, minhash, substrings, suffixes
+from blockloom.llm.minimisers import levels
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -80,13 +84,10 @@ def test_passages_on_the_table(spark, documents, sf_dir):
     assert got == passages(documents, substrings.K)
 
 
-@pytest.mark.parametrize(("hot", "chunk"), [(2, 10**6), (9, 10**6), (2, 40)])
-def test_passages_hot_and_chunked(small, monkeypatch, hot, chunk):
-    monkeypatch.setattr(substrings, "HOT_SHARE", hot)
-    if hot == 9:  # the least count that makes a minimiser hot is meant for large tables
-        monkeypatch.setattr(substrings, "max", lambda a, b: b, raising=False)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(small[1], k=6, m=2, chunk=chunk).collect()}
-    assert got == passages(small[0], 6)
+@pytest.mark.parametrize(("k", "m", "hot"), [(6, 2, None), (6, 2, 20), (6, 2, 0), (14, 2, 3)])
+def test_passages_with_frequent_minimisers(small, k, m, hot):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(small[1], k=k, m=m, hot_least=hot).collect()}
+    assert got == passages(small[0], k)
 
 
 def test_passages_edges(nasty, empty):
@@ -101,15 +102,69 @@ def test_strings_on_the_table(spark, documents, sf_dir):
     assert got == strings(documents, suffixes.K)
 
 
-@pytest.mark.parametrize(("hot", "chunk", "k"), [(2, 10**8, 12), (2, 10**8, 13), (9, 10**8, 12), (2, 400, 12)])
-def test_strings_hot_and_chunked(small, monkeypatch, hot, chunk, k):
-    monkeypatch.setattr(substrings, "HOT_SHARE", hot)
-    if hot == 9:
-        monkeypatch.setattr(substrings, "max", lambda a, b: b, raising=False)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(small[1], k=k, m=5, chunk=chunk, shard=200).collect()}
+@pytest.mark.parametrize(("k", "m", "hot"), [(12, 5, None), (13, 5, 20), (13, 5, 0), (30, 5, 3)])
+def test_strings_with_frequent_minimisers(small, k, m, hot):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(small[1], k=k, m=m, hot_least=hot).collect()}
     assert got == strings(small[0], k)
 
 
+def _shards(k, m):
+    """Random texts with much in common, in three shards; the arguments of suffixes.settle."""
+    rng = random.Random(4)
+    base = [["".join(rng.choices("abc", k=60)) for _ in range(6)] for _ in range(4)]
+    docs = [(i, "".join(rng.choice(base[rng.choice((3, i // 20))])[rng.randrange(9) :] for _ in range(4))) for i in range(60)]
+    lengths = levels(k, m)
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([t for _, t in part])], ["doc_id", "tag", "text"]) for part in (docs[:20], docs[20:40], docs[40:])]
+    rows = [r for b in batches for r in suffixes._packer(k, lengths, 1, np.zeros(0, np.uint64))(iter([b]))]
+    unzip = zstandard.ZstdDecompressor()
+    shards = [(np.frombuffer(unzip.decompress(a), np.uint64).reshape(-1, 7), unzip.decompress(t)) for r in rows for a, t in [(r.column("arrays")[0].as_py(), r.column("texts")[0].as_py())] if a]
+    return docs, rows, shards
+
+
+def _windows(batches):
+    return {(r["doc_id"], r["first"] + i) for b in batches for r in b.to_pylist() for i in range(r["n"])}
+
+
+def test_transforms_decide(spark):
+    """The merge gives all repeated windows, and other ones if a shard's transform is out of order."""
+    k = 40
+    docs, rows, shards = _shards(k, 5)
+    times = collections.Counter(t[i : i + k] for _, t in docs for i in range(len(t) - k + 1))
+    want = {(d, i) for d, t in docs for i in range(len(t) - k + 1) if times[t[i : i + k]] > 1}
+    assert len(shards) == 3 and _windows(suffixes._judge(k)(iter(rows))) == want
+    good = _windows(suffixes.settle(shards, k))
+    numbers, raw = shards[1]
+    ends = np.cumsum(numbers[:, 3].view(np.int64) + k - 1)
+    parts = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+    mixed = np.random.default_rng(5).permutation(len(parts))
+    turned = (np.ascontiguousarray(numbers[mixed]), b"".join(parts[i] for i in mixed))
+    assert _windows(suffixes.settle([shards[0], turned, shards[2]], k)) != good
+
+
+@pytest.mark.parametrize("operator", [substrings, suffixes])
+def test_texts_that_share_an_id(spark, operator):
+    """Each text of an id is judged by itself, equal ones too; texts of one id are no smaller id than each other."""
+    w = [" ".join(f"{c}{i:05d}" for i in range(80)) for c in "abcd"]
+    rows = [(1, w[0]), (2, w[0]), (2, w[1]), (2, w[1]), (2, w[2] + " " + w[3]), (3, "x " + w[2]), (4, None), (4, ""), (4, "one")]
+    got = sorted((r.doc_id, r[1], r.n_removed) for r in operator.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    if operator is substrings:
+        assert got == sorted([(1, 80, 0), (2, 80, 80), (2, 80, 0), (2, 80, 0), (2, 160, 0), (3, 81, 80), (4, 0, 0), (4, 0, 0), (4, 1, 0)])
+    else:
+        n = len(w[0])
+        assert got == sorted([(1, n, n), (2, n, n), (2, n, n), (2, n, n), (2, 2 * n + 1, n), (3, n + 2, n), (4, 0, 0), (4, 0, 0), (4, 3, 0)])
+
+
+def test_a_text_of_several_segments(spark, monkeypatch):
+    """Long texts are cut in overlapping segments; nothing changes."""
+    rng = random.Random(1)
+    docs = [(i, "".join(rng.choices("ab", k=300))) for i in range(8)]
+    monkeypatch.setattr(suffixes, "SEGMENT", 37)
+    rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([0] * 8, pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "tag", "text"])
+    packed = suffixes._packer(12, levels(12, 5), 1, np.zeros(0, np.uint64))(iter([rows]))
+    times = collections.Counter(t[i : i + 12] for _, t in docs for i in range(289))
+    assert _windows(suffixes._judge(12)(packed)) == {(d, i) for d, t in docs for i in range(289) if times[t[i : i + 12]] > 1}
+
+
 def test_strings_edges(nasty, empty):
     out = suffixes.digest(nasty).collect()
     assert len(out) == nasty.count() and suffixes.digest(empty).count() == 0
