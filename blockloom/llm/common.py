@@ -1,37 +1,26 @@
-"""What the training-data operators share: scratch tables, batch helpers, vectorised word and n-gram hashing."""
+"""What the training-data operators share: written tables, batch helpers, vectorised word and n-gram hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources import shared
+from ..sources.shared import scratch  # noqa: F401
 
 #: The 64-bit odd multiplier of all polynomial hashes (the golden ratio's).
 PHI = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that all executors share (spark.checkpoint.dir); where it is unset, as in tests, one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("blockloom.scratch.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="blockloom-")
-        spark.conf.set("blockloom.scratch.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     tune(df.sparkSession)
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared.table(df, name)
 
 
 def tune(spark: SparkSession) -> None:
@@ -127,11 +116,3 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def utf8(column: pa.Array) -> list[bytes]:
     """Null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def null_safe(a: DataFrame, b: DataFrame, *keys: str):
-    """The condition that the keys are equal or both null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
