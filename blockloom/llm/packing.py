@@ -33,6 +33,8 @@ from .common import documents, pieces, table
 
 CAPACITY = 1024
 END_ID = 2
+#: The vocabulary's special token (fixed value); as the tokenizers file has it, its string in a text is that token.
+SPECIAL = {"<|endoftext|>": 50256}
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -49,7 +51,7 @@ def encoder(path: str) -> tiktoken.Encoding:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODERS[path]
 
 
@@ -70,7 +72,7 @@ def tokenised(df: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         for batch in pieces(batches, "text"):
             rows = []
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 rows += [(d, i, a, n, binascii.crc32(raw[4 * a : 4 * (a + n)])) for i, (a, n) in enumerate(cut(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
