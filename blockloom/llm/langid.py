@@ -127,7 +127,7 @@ def fit_counts(counts: dict[str, np.ndarray]) -> Model | None:
         w = w - (means[bit > 0].min() + means[bit < 0].max()) / 2  # halfway between the two sides' closest languages
         weights.append(w)
         importance.append(max(1e-3, (means[bit > 0].min() - means[bit < 0].max()) / 2))
-    return Model(languages, code, np.array(weights, dtype=np.float32).T.copy(), np.array(importance))
+    return Model(languages, code, np.array(weights).T.copy(), np.array(importance))
 
 
 def shares(rows: dict[str, int], most: int) -> dict[str, float]:
@@ -184,10 +184,9 @@ def predict_texts(model: Model | None, texts: list[str | None], classes: int = C
     for i, text in enumerate(texts):
         g = grams(text, classes)
         if len(g):
-            if len(g) < classes // 4:
-                margins.append(model.weights[g].mean(axis=0, dtype=np.float64))
-            else:
-                margins.append(np.bincount(g, minlength=classes).astype(np.float32) @ model.weights / len(g))
+            times = np.bincount(g, minlength=classes)
+            at = np.flatnonzero(times)
+            margins.append(times[at] @ model.weights[at] / len(g))
             known.append(i)
     if known:
         loss, scores = model.decode(np.array(margins))
