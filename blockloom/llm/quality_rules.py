@@ -8,11 +8,11 @@ order. A document's score is the mean over its n-grams; it is kept if the score
 under the trusted multinomial as under the raw one).
 
 Scale: both passes over the texts are map-side. The count pass shuffles at most `buckets` rows a task, the score pass one
-row a document. The ratios are broadcast; they are bounded by `buckets` rows whatever the input. The labelled sample is
+row a document, which meets the document's base figures by id and text. The ratios are broadcast; they are bounded by `buckets` rows whatever the input. The labelled sample is
 bounded by `max_trusted` rows (ids are chosen by hash, so alike at any size), everything else covers all rows.
 
 Defined results: null text has no words; such documents, like all under 50 words, fail the base rule; one row per input
-row, repeated rows and null ids included. With no trusted document all ratios are 0 and the base rule alone decides.
+row, repeated rows and null ids included; rows that share an id are scored by their own texts. With no trusted document all ratios are 0 and the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -68,19 +68,20 @@ def repeat_words(w: Column) -> Column:
 
 
 def base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, the words and the base figures of each row."""
+    """The id, the base figures and a hash of the text (`tag`) of each row."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     figures = let(
         words(F.col("text")),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"), w.alias("words")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")),
     )
     return rows.select(
         "doc_id",
         figures.alias("f"),
         F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words", "f.words")
+        F.xxhash64("text").alias("tag"),
+    ).select("doc_id", "tag", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words")
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -111,18 +112,14 @@ def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: fl
 def judge(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD, order: int = 1) -> DataFrame:
     """The base figures, `base_failed`, `score` (null without words) and `kept` of each row."""
     llr = ratios(df, trusted, buckets, pseudo, order)
-    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = base(df).select(*keys, F.explode_outer(grams(F.col("words"), buckets, order)).alias("bucket")).select(*keys, "bucket", F.col("bucket").isNotNull().alias("real"))
-    sums = (
-        rows.join(F.broadcast(llr), "bucket", "left")
-        .groupBy(*keys).agg(F.sum(F.when(F.col("real"), F.col("llr"))).alias("total"), F.count(F.lit(1)).alias("n"))
-    )
-    # rows with the same id and figures were summed together: as many rows come back
-    copies = (F.col("n") / F.greatest(order * F.col("n_words") - (order - 1), F.lit(1))).cast("int")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    one = df.select("doc_id", F.xxhash64(text).alias("tag"), F.explode(let(words(text), lambda w: grams(w, buckets, order))).alias("bucket"))
+    sums = one.join(F.broadcast(llr), "bucket").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg((F.sum("llr") / F.count(F.lit(1)) / F.lit(float(UNIT))).alias("score"))
+    rows = base(df)
+    rows = rows.join(sums, rows["doc_id"].eqNullSafe(sums["_id"]) & (rows["tag"] == sums["_tag"]), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    score = F.col("total") / F.col("n") / F.lit(float(UNIT))
-    out = sums.select(*keys, failed.alias("base_failed"), score.alias("score"), F.explode(F.array_repeat(F.lit(0), copies)).alias("_"))
-    return out.select(*keys, "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
