@@ -15,8 +15,8 @@ Scale: the texts are shuffled once, compressed, and only for candidates; buckets
 Hot keys (a large group of copies, a hub) sit on the side of sort-merge joins that adaptive execution may split.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; rows with a null
-id likewise (their component is null); rows that repeat an id share its component (if their texts differ, one of them is
-compared); every input row comes back.
+id likewise (their component is null); rows that repeat an id with its text share its component; different texts of one id are
+judged apart: each has the least id that it reaches itself, and is kept if that is its own; every input row comes back.
 """
 
 from __future__ import annotations
@@ -201,8 +201,32 @@ def possible(nodes: DataFrame, width: int, percent: int, slots: int = SLOTS) ->
     ).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
+def _numbered_texts(df: DataFrame) -> DataFrame | None:
+    """The rows with an id, with `_number`, which tells the texts of an id apart and rises with the id; None if every id has one text only."""
+    named, of = df.where("doc_id IS NOT NULL"), F.xxhash64("text")
+    if named.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").isEmpty():
+        return None
+    at = F.struct(F.col("doc_id").cast("long").alias("id"), of.alias("text")).alias("_at")
+    numbers = table(numbered(named.select(at).distinct(), "_at", "_number"), "op9-numbers")
+    return table(named.select("*", at).join(numbers, "_at").drop("_at"), "op9-numbered")
+
+
 def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of (doc_id, text)."""
+    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbers = _numbered_texts(df)
+    if numbers is None:
+        return _judged(df, width, percent, perms, bands, rows)
+    found = _judged(numbers.select(F.col("_number").alias("doc_id"), "text"), width, percent, perms, bands, rows)
+    ids = numbers.select("_number", "doc_id").distinct()
+    own = found.join(ids.select(F.col("_number").alias("_own"), F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_own"))
+    led = own.join(ids.select(F.col("_number").alias("_least"), F.col("doc_id").alias("_lead")), F.col("component_id") == F.col("_least"))
+    out = led.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_lead").alias("component_id"), (F.col("_id") == F.col("_lead")).alias("kept"))
+    return out.union(_judged(df.where("doc_id IS NULL"), width, percent, perms, bands, rows))
+
+
+def _judged(df: DataFrame, width: int, percent: int, perms: int = PERMS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As near_duplicates, where rows that share an id share their text."""
     sk = table(sketches(df, width, perms, bands, rows), "op9-sketches")
     named = sk.where("doc_id IS NOT NULL AND n > 0")
     nodes = table(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("bands").alias("bands")), "op9-nodes")
@@ -242,15 +266,11 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, p
 def keep_one(df: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows (all columns) of which one stays for each group of near duplicates: the least id, once. Different texts of one id are judged apart."""
     named, unnamed = df.where("doc_id IS NOT NULL"), df.where("doc_id IS NULL")
-    of = F.xxhash64("text")
-    if not named.groupBy("doc_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo < hi").isEmpty():
-        # some ids have several texts: (id, text) is numbered in the order of ids, and the numbers stand in for the ids
-        at = F.struct(F.col("doc_id").cast("long").alias("id"), of.alias("text")).alias("_at")
-        numbers = table(numbered(named.select(at).distinct(), "_at", "_number"), "op9-numbers")
-        rows = table(named.select("*", at).join(numbers, "_at").drop("_at"), "op9-numbered")
-        gone = near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"), width, percent).where("NOT kept").select(F.col("doc_id").alias("_number"))
+    rows = _numbered_texts(df)
+    if rows is not None:
+        gone = _judged(rows.select(F.col("_number").alias("doc_id"), "text"), width, percent).where("NOT kept").select(F.col("doc_id").alias("_number"))
         return rows.join(gone, "_number", "left_anti").dropDuplicates(["_number"]).select(*df.columns).union(unnamed)
-    gone = near_duplicates(df.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id")
+    gone = _judged(df.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id")
     return named.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*df.columns).union(unnamed)
 
 
