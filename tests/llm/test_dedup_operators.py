@@ -218,6 +218,14 @@ def test_keep_one_judges_each_text_of_an_id(spark):
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, texts[0]), (2, texts[1]), (4, texts[2]), (5, None), (5, ""), (None, texts[0])]))
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[1]), (3, texts[1]), (4, texts[2]), (4, None), (None, texts[0])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 37, 1, True), (2, 37, 1, False), (2, 37, 2, True), (2, 37, 2, True), (3, 37, 2, False), (4, 37, 4, True), (4, 0, 4, True), (None, 37, None, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(links, "a", "b").collect()}

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -116,6 +117,48 @@ def test_language_is_right_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
 
 
+def test_codes_by_the_formula(spark):
+    """Fit and decoding against plain counting and sums, with texts of very different lengths."""
+    rng = random.Random(5)
+    sound = {"aa": "lomiru", "bb": "stekan", "cc": "lometa", "dd": "qxyzvu"}
+    rows = [(i, " ".join("".join(rng.choices(sound[x], k=rng.randint(2, 7))) for _ in range(n)), x) for i, (x, n) in enumerate((x, n) for x in sound for n in (1, 3, 30, 400, 6000) for _ in range(4))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+    def classes(t):
+        t = " " + re.sub("[^a-z]+", " ", t.lower()).strip() + " "
+        two = [ord(a) * 0x110001 + ord(b) for a, b in zip(t, t[1:], strict=False)]
+        three = [x * 0x110001 + ord(c) + 7 for x, c in zip(two, t[2:], strict=False)]
+        return [x * 0x9E3779B97F4A7C15 % 2**64 >> 50 for x in two + three]
+
+    counts = {x: collections.Counter(c for _, t, y in taught if y == x for c in classes(t)) for x in sound}
+    p = {x: [(counts[x][c] + 0.05) / (sum(counts[x].values()) + 0.05 * 2**14) for c in range(2**14)] for x in sound}
+    names = sorted(sound)
+    bits = []
+    for n in range(1, 4):  # every split of the languages with the first on the side of ones
+        for rest in itertools.combinations(names[1:], n - 1):
+            ones = [names[0], *rest]
+            zeros = [x for x in names if x not in ones]
+            w = [min(4, max(-4, math.log((sum(p[x][c] for x in ones) / len(ones)) / (sum(p[x][c] for x in zeros) / len(zeros))))) for c in range(2**14)]
+            mean = {x: sum(a * b for a, b in zip(p[x], w, strict=True)) for x in names}
+            lo, hi = min(mean[x] for x in ones), max(mean[x] for x in zeros)
+            bits.append((ones, w, (lo + hi) / 2, max(1e-3, (lo - hi) / 2)))
+    got = {r.doc_id: r for r in langid.predict(frame, langid.fit(frame)).collect()}
+    for d, t, _ in rows:
+        g = classes(t)
+        loss = {}
+        for x in names:
+            total = 0.0
+            for ones, w, middle, weight in bits:
+                margin = sum(w[c] - middle for c in g) / len(g)
+                total += weight * math.log1p(math.exp(-langid.SHARPNESS * margin / weight * (1 if x in ones else -1)))
+            loss[x] = total / sum(b[3] for b in bits)
+        best = min(names, key=loss.get)
+        assert got[d].lang_pred == best
+        assert got[d].score == pytest.approx(1 / sum(math.exp(-langid.SHARPNESS * (loss[x] - loss[best])) for x in names), rel=1e-6)
+        assert got[d].ambiguous == (sorted(loss.values())[1] - loss[best] < langid.MARGIN)
+
+
 def test_rare_languages_are_learned(spark):
     # 4,000 rows of one language and three of another, of which the sample of 50 reads all that are not held out
     rows = [(i, "the quick brown fox", "en") for i in range(4000)] + [(i, "żółć gęślą jaźń", "pl") for i in (5001, 5002, 5004)]
@@ -212,6 +255,14 @@ def test_ratio_counts_pairs_of_words(spark, documents, sf_dir, nasty, labels):
     assert len({r.score for r in quality_rules.judge(rows, trusted, order=2).collect()}) == 2 and len({r.score for r in quality_rules.judge(rows, trusted).collect()}) == 1
 
 
+def test_texts_that_share_an_id_are_scored_apart(spark):
+    """Two texts of one id with equal figures; one is like the trusted text."""
+    good, other = " ".join(f"g{i:02d}" for i in range(60)), " ".join(f"x{i:02d}" for i in range(60))
+    rows = spark.createDataFrame([(1, good), (1, other), (1, other), (2, good), (None, good)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), round(r.score, 5) > 0, r.kept) for r in quality_rules.judge(rows, spark.createDataFrame([(2,)], "doc_id long"), order=2).collect())
+    assert got == [("1", False, False), ("1", False, False), ("1", True, True), ("2", True, True), ("None", True, True)]
+
+
 def test_rules_edges_and_native_plan(spark, nasty, empty, labels):
     out = quality_rules.judge(nasty, quality_rules.trusted_ids(labels))
     got = collections.Counter((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in out.collect())
@@ -225,33 +276,47 @@ def test_rules_edges_and_native_plan(spark, nasty, empty, labels):
 # 7: model
 
 
-def test_perplexity_by_the_formula(spark, documents):
+@pytest.mark.parametrize("shards", [1, 3, 40])
+def test_perplexity_by_the_formula(spark, documents, shards):
+    """Modified discounts at each of the three orders; hot middle units dealt over shards; with and without top trigrams."""
     path, taught = quality_lm.vocabulary(), documents[:60]
-    counts, model = quality_lm.learn(spark.createDataFrame(taught, "doc_id long, text string"), path)
-    c = collections.Counter(int(k) for _, t in taught for k in quality_lm.bigrams(path, t or ""))
-    assert {r.key: r.n for r in counts.collect()} == c
-    times, v_total, w_kinds = collections.Counter(c.values()), collections.Counter(), collections.Counter()
-    kinds = collections.defaultdict(lambda: [0, 0, 0, 0])
-    for k, n in c.items():
-        v, w = divmod(k, quality_lm.UNITS)
-        v_total[v] += n
-        kinds[v][min(n, 3)] += 1
-        w_kinds[w] += 1
-    y = times[1] / (times[1] + 2 * times[2])
-    d = [0, *(k - (k + 1) * y * times[k + 1] / times[k] for k in (1, 2, 3))]
-
-    def p(k):
-        v, w = divmod(k, quality_lm.UNITS)
-        low = max(w_kinds[w] - 0.75, 0) / len(c) + 0.75 * len(w_kinds) / len(c) / quality_lm.UNITS
-        return max(c[k] - d[min(c[k], 3)], 0) / v_total[v] + sum(d[j] * kinds[v][j] for j in (1, 2, 3)) / v_total[v] * low if v_total[v] else low
-
-    frame = spark.createDataFrame([(i, t, "en") for i, t in documents], "doc_id long, text string, lang string")
+    tables, model = quality_lm.learn(spark.createDataFrame(taught, "doc_id long, text string"), path)
+    U = quality_lm.UNITS
+
+    def split(key):
+        return key // U // U, key // U % U, key % U
+
+    c3 = collections.Counter(split(int(k)) for _, t in taught for k in quality_lm.trigrams(path, t or ""))
+    assert {split(r.key): r.n for r in tables.counts.collect()} == c3
+    c2 = collections.Counter((v, w) for _, v, w in c3)  # distinct left neighbours
+    c1 = collections.Counter((w,) for _, w in c2)
+    orders = []
+    for c in (c3, c2, c1):
+        times = collections.Counter(c.values())
+        y = times[1] / (times[1] + 2 * times[2])
+        d = [0, *(min(max(k - (k + 1) * y * times[k + 1] / times[k], 0.1), k - 0.01) for k in (1, 2, 3))]
+        total, taken = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            taken[g[:-1]] += d[min(n, 3)]
+        orders.append((c, d, total, taken))
+
+    def p(g, orders=orders):
+        if not orders:
+            return 1 / U
+        c, d, total, taken = orders[0]
+        low = p(g[1:], orders[1:])
+        h = g[:-1]
+        return max(c[g] - d[min(c[g], 3)], 0) / total[h] + taken[h] / total[h] * low if total[h] else low
+
+    frame = spark.createDataFrame([(i, t, "en") for i, t in documents[:120]], "doc_id long, text string, lang string")
+    assert len(model.top) > 1000 and model.splits(40).max() > 1
     for top in (True, False):
         if not top:
             model.top, model.top_logp = model.top[:0], model.top_logp[:0]
-        got = {r.doc_id: r for r in quality_lm.perplexities(frame, counts, model, path, 3).collect()}
-        for i, t in documents:
-            keys = [int(k) for k in quality_lm.bigrams(path, t or "")]
+        got = {r.doc_id: r for r in quality_lm.perplexities(frame, tables, model, path, shards).collect()}
+        for i, t in documents[:120]:
+            keys = [split(int(k)) for k in quality_lm.trigrams(path, t or "")]
             assert got[i].n_units == len(keys)
             if keys:
                 assert got[i].perplexity == pytest.approx(math.exp(-sum(math.log(p(k)) for k in keys) / len(keys)), rel=1e-3)
@@ -349,6 +414,16 @@ def test_packing_covers_every_id(spark, documents, sf_dir):
     assert rows.sequence_id.nunique() <= 1.03 * least + 2 and set(rows.doc_id) == set(ids)
 
 
+def test_the_special_token_in_a_text():
+    """The string of the special token is that token, as in the library."""
+    import public_tokenizers
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\ny", "<|endoftext", "é<|endoftext|>日本"):
+        assert packing.encoder(packing.vocabulary()).encode(t, allowed_special="all") == library.encode(t, add_special_tokens=False).ids
+
+
 def test_rounds_are_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(50):
