@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PREFIXES = {"lba": "lba:", "nondedup": "nondedup:", "bitmap": "semidedup:bitmap:", "journal": "tlog:"}
 #: Bits of a volume type (fixed values): boot, database, cache, temporary.
 TYPES = {"boot": 1 | 16 | 32, "db": 2 | 16 | 32, "cache": 4, "tmp": 8}
+#: Commands that block stores are sent, and whether they change anything (fixed values).
+STORE_COMMANDS = {"GET": False, "SET": True, "DEL": True, "EXISTS": False, "SCAN": False, "HGET": False, "HSET": True, "HDEL": True, "HKEYS": False, "HSCAN": False}
 #: States of a storage server, by number (fixed values).
 STATES = ("online", "offline", "repair", "respread", "rip")
 
@@ -97,6 +99,11 @@ def as_pairs(replies: Column) -> Column:
     return F.map_from_arrays(F.transform(at, lambda i: as_long(F.get(replies, i))), F.transform(at, lambda i: F.get(replies, i + 1)))
 
 
+def writes(command: Column) -> Column:
+    """Whether a store's command changes it; null for an unknown one."""
+    return F.when(command.isin(*(c for c, w in STORE_COMMANDS.items() if w)), True).when(command.isin(*STORE_COMMANDS), False)
+
+
 def has_bits(kind: Column, bits: int) -> Column:
     return kind.bitwiseAND(bits) != 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, hashing, values
 from ..operators import addressing, cluster, config, snapshot, store
 from ..sources import bindings as b
+from ..sources import headers
 from ..sources import volumes as files
 from ..sources.shared import scratch
 from .volumes import CO, RULES, SV, VO, B, X
@@ -203,6 +204,13 @@ def snapshot_headers(s, d):
     return b.read(s, d, "orders").select(made.alias("choice")).groupBy("choice").agg(F.count("*").alias("n"))
 
 
+def snapshot_header_bytes(s, d):
+    """The header's parts, bencoded, compressed and encrypted, and read back."""
+    made = snapshot.header(b.blocks(s, d).select("block_index", "hash"), "snap", 4096, "vol", 1 << 30, 128)
+    back = headers.of_bytes(headers.to_bytes(made, "lz4", b"k" * 32), "lz4", b"k" * 32)
+    return snapshot.header_rows(back)
+
+
 def snapshot_ids(s, d):
     return b.read(s, d, "orders").select("o_orderkey", snapshot.snapshot_id(F.concat(F.lit("v"), F.col("o_custkey").cast("string")), F.col("o_orderdate").cast("timestamp")).alias("snapshot"))
 
@@ -317,6 +325,12 @@ def request_checks(s, d):
     return addressing.violations(_commands(s, d), 50_000_000, True, 20_000, 1024).groupBy("cmd", "violation").agg(F.count("*").alias("n"))
 
 
+def store_commands(s, d):
+    """Which of the commands that stores are sent change them."""
+    name = F.element_at(F.array(*map(F.lit, (*values.STORE_COMMANDS, "PING"))), (F.col("event_id") % (len(values.STORE_COMMANDS) + 1) + 1).cast("int"))
+    return b.read(s, d, "events").select(values.writes(name).alias("writes")).groupBy("writes").agg(F.count("*").alias("n"))
+
+
 def trim_effects(s, d):
     return addressing.effective(_commands(s, d)).groupBy("cmd").agg(F.count("*").alias("n"))
 
@@ -386,8 +400,8 @@ def composition_watch(s, d):
 
 _NAMES = """dedup_changes new_contents plain_write overlay_write overlay_delete bitmap_roundtrip bitmap_test point_reads template_by_index volume_exists migrate_keys
 blake2b_groups keyed_hashes nil_hashes gzip_roundtrip xz_roundtrip lz4_roundtrip aes_roundtrip erasure_roundtrip server_strings service_addresses enum_names error_status reply_values
-snapshot_roundtrip snapshot_listing snapshot_fits snapshot_json snapshot_headers snapshot_ids record_files image_files block_files journal_files config_documents
-server_counts server_pairs usable_servers clone_deduped clone_plain clone_overlay clone_total ordered_replies action_batches request_checks trim_effects
+snapshot_roundtrip snapshot_listing snapshot_fits snapshot_json snapshot_headers snapshot_header_bytes snapshot_ids record_files image_files block_files journal_files config_documents
+server_counts server_pairs usable_servers clone_deduped clone_plain clone_overlay clone_total ordered_replies action_batches request_checks store_commands trim_effects
 volume_backends exported_volumes config_same delete_targets config_import clone_actions journaled_volumes journals_valid config_errors composition_watch"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -424,6 +438,7 @@ SQL = {
     "snapshot_fits": f"WITH {X} SELECT (max(block_index) // 4 + 1) * 2400 AS size FROM x",
     "snapshot_json": f"""WITH {B} SELECT '{{"n_blocks":' || count(*) || ',"snapshot_bytes":' || count(*) * 4096 || ',"volume_bytes":' || (max(block_index) + 1) * 4096 || ',"n_distinct":' || count(DISTINCT hash) || '}}' AS json FROM b""",
     "snapshot_headers": "WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT CASE WHEN k % 2 <> 0 THEN 'new' WHEN k % 3 = 0 THEN CASE WHEN k % 7 = 0 THEN 'new' ELSE 'error: unreadable' END WHEN k % 5 % 2 = 0 THEN 'reuse' WHEN k % 7 = 0 THEN 'new' ELSE 'error: incompatible block size' END AS choice, count(*) AS n FROM o GROUP BY 1",
+    "snapshot_header_bytes": f"WITH {B} SELECT block_index, hash FROM b",
     "snapshot_ids": "SELECT o_orderkey, 'v' || o_custkey || '_' || CAST(epoch(o_orderdate) AS BIGINT) AS snapshot FROM orders",
     "record_files": f"WITH {X} SELECT block_index % 10000000 AS block_index, sha256(rpad(h, 1200, '0')) AS digest FROM x",
     "image_files": "SELECT CAST(i AS BIGINT) AS block_index, count(*) AS n FROM (SELECT unnest(range((octet_length(encode(text)) + 1 + 511) // 512)) AS i, octet_length(encode(text)) AS l FROM documents WHERE doc_id % 5 = 0 AND text <> '') WHERE i * 512 < l GROUP BY 1",
@@ -440,6 +455,7 @@ SQL = {
     "ordered_replies": "SELECT event_id AS ordinal, CASE WHEN event_type <> 'error' THEN user_id END AS reply FROM events",
     "action_batches": "SELECT server_index, batch, count(*) AS n, sha256(string_agg(event_type, ',' ORDER BY event_id)) AS digest FROM (SELECT *, user_id % 8 AS server_index, (row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1) // 100 AS batch FROM events) GROUP BY 1, 2",
     "request_checks": f"WITH {_CMD} SELECT cmd, CASE WHEN cmd = 'bogus' THEN 'unknown command' WHEN cmd IN ('flush', 'disconnect') THEN NULL WHEN cmd IN ('write', 'write_zeroes', 'trim') THEN 'read only' WHEN n > 20000 THEN 'too long' WHEN o < 0 OR o + n > 50000000 THEN 'out of bounds' WHEN o % 1024 <> 0 OR n % 1024 <> 0 THEN 'not aligned' END AS violation, count(*) AS n FROM r GROUP BY 1, 2",
+    "store_commands": "SELECT CASE WHEN event_id % 11 IN (1, 2, 6, 7) THEN true WHEN event_id % 11 < 10 THEN false END AS writes, count(*) AS n FROM events GROUP BY 1",
     "trim_effects": f"WITH {_CMD} SELECT cmd, count(*) AS n FROM r WHERE cmd IN ('write', 'write_zeroes') GROUP BY 1",
     "volume_backends": f"WITH {CO} SELECT volume, CASE WHEN type & 1 <> 0 THEN 'deduped' ELSE 'nondeduped' END AS storage, type & 32 <> 0 AND tc IS NOT NULL AS with_template, type & 16 <> 0 AND tlog IS NOT NULL AS with_journal, sc IS NOT NULL AS with_slave FROM c",
     "exported_volumes": f"WITH {VO} SELECT 's' || (k % 8) AS server, volume, block_size, CAST(size_gib AS BIGINT) * 1073741824 AS size_bytes FROM vo WHERE k % 9 <> 0",

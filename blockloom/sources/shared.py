@@ -23,4 +23,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet and read again: cuts the lineage, survives lost executors, and is the same at every read."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._blockloom_path = path
+    return out
+
+
+def table_path(df: DataFrame) -> str | None:
+    """Where `table` wrote what df reads."""
+    return getattr(df, "_blockloom_path", None)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that nothing reads any more."""
+    if path := table_path(df):
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

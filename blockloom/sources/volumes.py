@@ -14,12 +14,21 @@ from ..operators.store import is_zero
 from ..schemas import BLOCKS, JOURNAL
 
 
-def read_image(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """The non-zero blocks of raw image files: volume (the file's name), block_index, content."""
+def read_image(spark: SparkSession, path: str, size: int, whole: int = 1 << 30) -> DataFrame:
+    """The non-zero blocks of raw image files: volume (the file's name), block_index, content.
+
+    Files of up to `whole` bytes are read as one value each; larger ones, which have to be a multiple of the block size, as
+    records from byte ranges that many tasks share.
+    """
     files = spark.read.format("binaryFile").load(path)
-    rows = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("volume"), "content", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.greatest("length", F.lit(1)) / size) - 1)).alias("block_index"))
-    cut = rows.select("volume", "block_index", F.substring("content", (F.col("block_index") * size + 1).cast("int"), F.lit(size)).alias("content"))
-    return cut.where(~is_zero(F.col("content")))
+    volume = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("volume")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("length", F.lit(1)) - 1) / size))
+    cut = F.transform(numbers, lambda i: F.struct(i.alias("block_index"), F.substring("content", (i * size + 1).cast("int"), F.lit(size)).alias("content")))
+    rows = files.where(F.col("length") <= whole).select(volume, F.explode(cut).alias("b")).select("volume", "b.block_index", "b.content")
+    for file in files.where(F.col("length") > whole).select("path", volume).collect():  # names only
+        records = spark.sparkContext.binaryRecords(file.path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+        rows = rows.union(spark.createDataFrame(records, "block_index bigint, content binary").select(F.lit(file.volume).alias("volume"), "block_index", "content"))
+    return rows.where(~is_zero(F.col("content")))
 
 
 def write_records(blocks: DataFrame, path: str) -> None:
@@ -67,9 +76,9 @@ def delete_volume(spark: SparkSession, path: str, volume: str) -> bool:
 
 
 def write_journal(journal: DataFrame, path: str) -> None:
-    """By volume and day, sorted by seq within files: bounds by time prune directories, bounds by seq prune row groups."""
+    """By volume and day, sorted by seq within files: bounds by time prune directories, bounds by seq prune row groups. A volume's day may be long: ranges share it."""
     day = F.to_date(F.timestamp_micros(F.expr("ts div 1000")))
-    journal.withColumn("day", day).repartition("volume", "day").sortWithinPartitions("seq").write.mode("append").partitionBy("volume", "day").parquet(path)
+    journal.withColumn("day", day).repartitionByRange("volume", "day", "seq").sortWithinPartitions("volume", "day", "seq").write.mode("append").partitionBy("volume", "day").parquet(path)
 
 
 def read_journal(spark: SparkSession, path: str, volume: str | None = None, start_ns: int = 0, end_ns: int = 0) -> DataFrame:

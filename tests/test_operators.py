@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import codecs, hashing, sharding, values
 from blockloom.operators import addressing, cluster, journal, metrics, rechunk, snapshot, store
-from blockloom.sources import volumes
+from blockloom.sources import headers, shared, volumes
 
 
 def blocks_of(spark, data: bytes, size: int):
@@ -42,6 +42,7 @@ def test_deflate_undoes_inflate(spark):
     assert as_dict(rechunk.deflate(rechunk.inflate(rows, 4, 8), 4, 8)) == as_dict(rows)
 
 
+# extents and rates (fixed values)
 @pytest.mark.parametrize(
     ("last", "source", "target", "content", "size"),
     [(0, 512, 512, b"\1", 512), (1, 512, 512, b"\1", 1024), (4, 512, 512, b"\1", 2560), (1, 512, 1024, b"\1", 1024), (2, 512, 1024, b"\1", 2048), (9, 128, 1024, b"\1", 2048),
@@ -134,6 +135,9 @@ def test_blocks_and_journal_on_disk(spark, tmp_path):
     image.write_bytes(b"ab" + bytes(4) + b"cde")
     rows = volumes.read_image(spark, str(image), 2)
     assert {r.block_index: bytes(r.content) for r in rows.collect()} == {0: b"ab", 3: b"cd", 4: b"e"}
+    image.write_bytes(b"ab" + bytes(4) + b"cd")
+    assert {r.block_index: bytes(r.content) for r in volumes.read_image(spark, str(image), 2, 4).collect()} == {0: b"ab", 3: b"cd"}
+    rows = spark.createDataFrame([("disk", i, bytearray(c)) for i, c in ((0, b"ab"), (3, b"cd"), (4, b"e"))], "volume string, block_index bigint, content binary")
     volumes.write_blocks(rows, str(tmp_path / "blocks"))
     assert volumes.read_blocks(spark, str(tmp_path / "blocks"), "disk").count() == 3
     assert volumes.delete_volume(spark, str(tmp_path / "blocks"), "disk") and not volumes.delete_volume(spark, str(tmp_path / "blocks"), "disk")
@@ -303,3 +307,24 @@ def test_header_that_does_not_fit_fails(spark):
     assert made.count() == 2 and {tuple(r) for r in snapshot.header_rows(made).collect()} == {tuple(r) for r in map_.collect()}
     with pytest.raises(Exception, match="invalid header"):
         snapshot.header_rows(made.withColumn("map", F.col("map").withField("c", F.lit(9)))).collect()
+
+
+def test_bencoded_headers(spark):
+    x = {"b": [1, -2, "abc"], "a": {"c": ""}}
+    assert headers.bencode(x) == b"d1:ad1:c0:e1:bli1ei-2e3:abcee" and headers.bdecode(headers.bencode(x)) == x
+    for bad in (b"", b"i1", b"3:ab", b"x", b"i1ei2e", b"d1:ae"):
+        with pytest.raises(ValueError):
+            headers.bdecode(bad)
+    map_ = spark.createDataFrame([(i, f"h{i}") for i in (1, 7, 3)], "block_index bigint, hash string")
+    made = headers.to_bytes(snapshot.header(map_, "s", 4096, "v", 1), "xz", b"k" * 32)
+    assert {tuple(r) for r in snapshot.header_rows(headers.of_bytes(made, "xz", b"k" * 32)).collect()} == {tuple(r) for r in map_.collect()}
+    with pytest.raises(Exception):
+        headers.of_bytes(made, "xz", b"j" * 32).collect()
+
+
+def test_written_tables_can_be_dropped(spark):
+    held = shared.table(spark.range(3), "dropped")
+    assert held.count() == 3
+    shared.drop(held)
+    with pytest.raises(Exception):
+        spark.read.parquet(shared.table_path(held))
