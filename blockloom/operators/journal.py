@@ -50,15 +50,23 @@ def numbered(rows: DataFrame, order: str, alias: str = "seq", partitions: int |
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = table(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftrightunsigned("_at", 33)
-    before, total = [], 1
-    for r in sorted(held.groupBy(part.alias("part")).count().collect()):
-        before.append((r["part"], total))
+    at, part, start = (_free(rows, x) for x in ("_at", "_part", "_start"))
+    held = table(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    held = held.withColumn(part, F.shiftrightunsigned(at, 33))
+    before_, total = [], 1
+    for r in sorted(held.groupBy(part).count().collect()):
+        before_.append((r[part], total))
         total += r["count"]
-    starts = F.broadcast(spark.createDataFrame(before, "_part bigint, _start bigint"))  # a row a partition
-    number = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return held.withColumn("_part", part).join(starts, "_part").withColumn(alias, number).drop("_part", "_start", "_at")
+    starts = F.broadcast(spark.createDataFrame(before_, f"{part} bigint, {start} bigint"))  # a row a partition
+    number = F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)
+    return held.join(starts, part).withColumn(alias, number).drop(part, start, at)
+
+
+def _free(rows: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 def before(rows: DataFrame, value: str, order: str, *partition: str) -> DataFrame:

@@ -207,6 +207,7 @@ def test_numbers_are_dense_when_written(spark, tmp_path):
     journal.numbered(rows, "x", "n", 8).write.parquet(str(tmp_path / "numbered"))
     got = spark.read.parquet(str(tmp_path / "numbered"))
     assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (n, 1, n)
+    assert [tuple(r) for r in journal.numbered(spark.createDataFrame([(5, 7, 9)], "_at int, _part int, _start int"), "_at", "n").collect()] == [(5, 7, 9, 1)]
     assert got.select("n", F.lag("x").over(Window.orderBy("n")).alias("b"), "x").where("b > x").isEmpty()
 
 
