@@ -1,7 +1,8 @@
 """Connected components of a links table, without gathering links anywhere: large-star and small-star rounds in DataFrames.
 
 Each round links every node's larger (then smaller-or-equal) neighbours to its least neighbour; the number of rounds is
-logarithmic in the size of a component. Each round's links are written to the shared folder, which cuts the lineage.
+logarithmic in the size of a component. Each round's links are written to the shared folder, which cuts the lineage,
+and take the place of the round before's.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop
 from .common import table
 
 
@@ -33,7 +35,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         if sums == before or not sums[0]:
             break
         before = sums
-        now = table(_star(_star(now, True), False), "components")
+        now, last = table(_star(_star(now, True), False), "components"), now
+        drop(last)
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
