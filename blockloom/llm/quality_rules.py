@@ -75,13 +75,11 @@ def base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         words(F.col("text")),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")),
     )
-    return rows.select(
-        "doc_id",
-        figures.alias("f"),
-        F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.xxhash64("text").alias("tag"),
-    ).select("doc_id", "tag", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words")
+    symbols = F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long")
+    repeated = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    # the generator keeps the optimiser from putting these expressions in the place of every use of a figure
+    once = F.inline(F.array(F.struct(figures.alias("f"), symbols.alias("n_symbols"), repeated.alias("n_dup_lines"))))
+    return rows.select("doc_id", F.xxhash64("text").alias("tag"), once).select("doc_id", "tag", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words")
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -112,8 +110,9 @@ def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: fl
 def judge(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD, order: int = 1) -> DataFrame:
     """The base figures, `base_failed`, `score` (null without words) and `kept` of each row."""
     llr = ratios(df, trusted, buckets, pseudo, order)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = df.select("doc_id", F.xxhash64(text).alias("tag"), F.explode(let(words(text), lambda w: grams(w, buckets, order))).alias("bucket"))
+    rows = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"))  # before the n-grams are rows: once a text
+    one = hashed.select("doc_id", "tag", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets, order))).alias("bucket"))
     sums = one.join(F.broadcast(llr), "bucket").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg((F.sum("llr") / F.count(F.lit(1)) / F.lit(float(UNIT))).alias("score"))
     rows = base(df)
     rows = rows.join(sums, rows["doc_id"].eqNullSafe(sums["_id"]) & (rows["tag"] == sums["_tag"]), "left")
