@@ -42,7 +42,7 @@ from .packing import encoder, vocabulary
 
 UNITS = 50_258  # the vocabulary's ids, one spare, and the last for the beginning
 BEGIN = UNITS - 1
-TOP = 1 << 17
+TOP = 1 << 18
 QUANTILE = 0.98
 UNIT = 4096
 
@@ -176,6 +176,16 @@ def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: compresses better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
 #: Columns of each kind of table row that a shard holds: counts, contexts, pairs.
 WIDTHS = (2, 5, 2)
 PAIRS, META = 3, 4
@@ -208,9 +218,9 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
                 order = np.lexsort((rows[:, 0], s))
                 for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
                     if len(part):
-                        columns = rows[part].T.copy()
-                        columns[0] = _delta(columns[0])
-                        yield _row(int(s[part[0]]), kind, None, zip_.compress(columns.tobytes()))
+                        columns = rows[part]
+                        columns[:, 0] = _delta(columns[:, 0])
+                        yield _row(int(s[part[0]]), kind, None, zip_.compress(_planes(columns)))
 
         return pack
 
@@ -234,7 +244,7 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
             for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
                 if len(part):
                     distinct, times = np.unique(keys[part], return_counts=True)
-                    body = [len(distinct).to_bytes(8, "little"), len(n).to_bytes(8, "little"), _delta(distinct).tobytes(), times.astype(np.int32).tobytes(), docs[part].astype(np.int32).tobytes()]
+                    body = [len(distinct).to_bytes(8, "little"), len(n).to_bytes(8, "little"), _planes(_delta(distinct)), _planes(times.astype(np.int32)), _planes(docs[part].astype(np.uint16 if len(n) <= 1 << 16 else np.int32))]
                     yield _row(int(s[part[0]]), PAIRS, name, zip_.compress(b"".join(body)))
             meta = pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array(n, pa.int64()), pa.array(local, pa.int64())], names=["doc_id", "lang", "n", "sum"])
             sink = pa.BufferOutputStream()
@@ -254,7 +264,8 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
                     continue
                 raw = unzip.decompress(body)
                 if kind < PAIRS:
-                    part = np.frombuffer(raw, dtype=np.int64).reshape(WIDTHS[kind], -1).T.copy()
+                    width = WIDTHS[kind]
+                    part = _numbers(raw, np.dtype((np.void, 8 * width)), len(raw) // (8 * width), 0).view(np.int64).reshape(-1, width)
                     part[:, 0] = np.cumsum(part[:, 0])
                     parts[kind].append(part)
                     continue
@@ -264,9 +275,8 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
                         known.append(all_[np.argsort(all_[:, 0], kind="stable")])
                     parts = []
                 n, rows = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
-                distinct = np.cumsum(np.frombuffer(raw, np.int64, n, 16))
-                times = np.frombuffer(raw, np.int32, n, 16 + 8 * n)
-                docs = np.frombuffer(raw, np.int32, -1, 16 + 12 * n)
+                distinct, times = np.cumsum(_numbers(raw, np.int64, n, 16)), _numbers(raw, np.int32, n, 16 + 8 * n)
+                docs = _numbers(raw, np.uint16 if rows <= 1 << 16 else np.int32, int(times.sum()), 16 + 12 * n)
                 c, context, n2 = (look_up(k, x)[0] for k, x in zip(known, (distinct, distinct // UNITS, distinct % (UNITS * UNITS)), strict=True))
                 logp = np.repeat(model.logp(distinct, c[:, 0], context, n2[:, 0]), times)
                 sums = np.bincount(docs, logp, rows).astype(np.int64)  # exact: whole numbers far below 2 ** 53
