@@ -7,9 +7,9 @@ extra units where a document begins. With c the count of (u, v, w), the model is
 
 and so on down to the uniform distribution; p2 and p1 have the numbers of distinct left neighbours in place of counts. Every
 order has discounts D1, D2, D3+ of its own, estimated from its counts of counts; back is what they took, spread evenly.
-The tables of trusted trigrams, of their contexts (u, v) and of pairs (v, w) are as large as the text makes them.
+The tables of trusted trigrams and of pairs (v, w) are as large as the text makes them.
 
-Scoring is a sharded join. All three tables lie in shards by the middle unit v, so that one visit gives a trigram's
+Scoring is a sharded join. Both tables lie in shards by the middle unit v, so that one visit gives a trigram's
 probability; a unit v with many trigrams is dealt over several shards by u, and its pairs are copied to each of these. A batch of
 documents sends each shard its distinct (trigram, document) pairs, packed and compressed; a shard looks them up and returns
 one sum a document, packed by batch; sums are added by batch. Log-probabilities are whole 1/4096 nats, so sums do not depend on
@@ -94,10 +94,9 @@ class Model:
 
 @dataclass
 class Tables:
-    """counts (key, n), contexts (uv, n, n1, n2, n3) and pairs (vw, n) of the trusted text."""
+    """counts (key, n) and pairs (vw, n) of the trusted text."""
 
     counts: DataFrame
-    contexts: DataFrame
     pairs: DataFrame
 
 
@@ -124,14 +123,13 @@ def _kinds() -> list:
 def learn(trusted: DataFrame, path: str) -> tuple[Tables, Model]:
     """The tables and the model. The driver sees a row a unit, the histogram of counts, and the top trigrams."""
     counts = table(count_trigrams(trusted, path), "op7-counts")
-    contexts = table(counts.groupBy(F.expr(f"key div {UNITS}").alias("uv")).agg(*_kinds()), "op7-contexts")
     pairs = table(counts.groupBy((F.col("key") % (UNITS * UNITS)).alias("vw")).agg(F.count(F.lit(1)).alias("n")), "op7-pairs")
     sum2, kinds2, n1, share = np.zeros(UNITS), np.zeros((UNITS, 3)), np.zeros(UNITS, np.int64), np.zeros(UNITS)
     for r in pairs.groupBy(F.expr(f"vw div {UNITS}").alias("v")).agg(*_kinds()).collect():
         sum2[r.v], kinds2[r.v] = r.n, (r.n1, r.n2, r.n3)
     for r in pairs.groupBy((F.col("vw") % UNITS).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect():
         n1[r.w] = r.n
-    for r in contexts.groupBy((F.col("uv") % UNITS).alias("v")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy((F.expr(f"key div {UNITS}") % UNITS).alias("v")).agg(F.sum("n").alias("n")).collect():
         share[r.v] = r.n
     d3, d2 = discounts(_of_counts(counts)), discounts(_of_counts(pairs))
     d1 = discounts([float((n1 == k).sum()) for k in (1, 2, 3, 4)])
@@ -148,11 +146,12 @@ def learn(trusted: DataFrame, path: str) -> tuple[Tables, Model]:
         least = r.n
     if least is not None:
         many = counts.where(F.col("n") >= least).select("key", "n", F.expr(f"key div {UNITS}").alias("uv"), (F.col("key") % (UNITS * UNITS)).alias("vw"))
-        of = contexts.select("uv", F.col("n").alias("c"), "n1", "n2", "n3")
+        wanted = F.broadcast(many.select("uv").distinct())  # TOP rows at most
+        of = counts.select(F.expr(f"key div {UNITS}").alias("uv"), "n").join(wanted, "uv", "left_semi").groupBy("uv").agg(*_kinds()).withColumnRenamed("n", "c")
         top = many.join(of, "uv").join(pairs.select("vw", F.col("n").alias("m")), "vw").toPandas().sort_values("key")
         model.top = top["key"].to_numpy(np.int64)
         model.top_logp = model.logp(model.top, top["n"].to_numpy(np.int64), top[["c", "n1", "n2", "n3"]].to_numpy(np.int64), top["m"].to_numpy(np.int64))
-    return Tables(counts, contexts, pairs), model
+    return Tables(counts, pairs), model
 
 
 def look_up(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +182,20 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _numbers(raw: bytes, kind, n: int, at: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+    return np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n)
 
 
-#: Columns of each kind of table row that a shard holds: counts, contexts, pairs.
-WIDTHS = (2, 5, 2)
-PAIRS, META = 3, 4
+#: Kinds of rows that a shard gets: two tables, then what documents ask, then what is known of the documents.
+COUNTS, LOWER, PAIRS, META = range(4)
+
+
+def contexts(counts: np.ndarray) -> np.ndarray:
+    """(uv, n, n1, n2, n3) of sorted rows (key, n)."""
+    uv, n = counts[:, 0] // UNITS, counts[:, 1]
+    head = np.flatnonzero(np.diff(uv, prepend=-1))
+    if not len(head):
+        return np.zeros((0, 5), np.int64)
+    return np.stack([uv[head], *(np.add.reduceat(x.astype(np.int64), head) for x in (n, n == 1, n == 2, n > 2))], axis=1)
 
 
 def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards: int | None = None) -> DataFrame:
@@ -208,13 +215,13 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
             zip_ = zstandard.ZstdCompressor(level=1)
             for batch in batches:
                 rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-                if kind == 2:  # a copy for each shard that has a part of v
+                if kind == LOWER:  # a copy for each shard that has a part of v
                     v = rows[:, 0] // UNITS
                     n = splits[v]
                     rows, part = np.repeat(rows, n, axis=0), counting(n)
                     s = place(np.repeat(v, n), part)
                 else:
-                    s = shard_of(rows[:, 0] // UNITS if kind == 0 else rows[:, 0])
+                    s = shard_of(rows[:, 0] // UNITS)
                 order = np.lexsort((rows[:, 0], s))
                 for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
                     if len(part):
@@ -254,7 +261,7 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        parts: list[list[np.ndarray]] = [[np.zeros((0, w), np.int64)] for w in WIDTHS]
+        parts: list[list[np.ndarray]] = [[np.zeros((0, 2), np.int64)] for _ in (COUNTS, LOWER)]
         known: list[np.ndarray] = []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -264,8 +271,7 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
                     continue
                 raw = unzip.decompress(body)
                 if kind < PAIRS:
-                    width = WIDTHS[kind]
-                    part = _numbers(raw, np.dtype((np.void, 8 * width)), len(raw) // (8 * width), 0).view(np.int64).reshape(-1, width)
+                    part = _numbers(raw, np.dtype((np.void, 16)), len(raw) // 16, 0).view(np.int64).reshape(-1, 2)
                     part[:, 0] = np.cumsum(part[:, 0])
                     parts[kind].append(part)
                     continue
@@ -273,6 +279,7 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
                     for p in parts:
                         all_ = np.concatenate(p)
                         known.append(all_[np.argsort(all_[:, 0], kind="stable")])
+                    known.insert(1, contexts(known[0]))
                     parts = []
                 n, rows = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
                 distinct, times = np.cumsum(_numbers(raw, np.int64, n, 16)), _numbers(raw, np.int32, n, 16 + 8 * n)
@@ -302,9 +309,8 @@ def perplexities(df: DataFrame, tables: Tables, model: Model, path: str, shards:
             yield pa.RecordBatch.from_arrays([*meta.columns[:2], meta.column("n"), pa.array(ppl, pa.float64(), mask=n == 0)], ["doc_id", "lang", "n_units", "perplexity"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(pack_documents, ROW)
-    held = [(tables.counts, ("key", "n")), (tables.contexts, ("uv", "n", "n1", "n2", "n3")), (tables.pairs, ("vw", "n"))]
-    for kind, (t, columns) in enumerate(held):
-        rows = rows.union(t.select(*(F.col(c).cast("long") for c in columns)).mapInArrow(packer(kind), ROW))
+    for kind, t in ((COUNTS, tables.counts), (LOWER, tables.pairs)):
+        rows = rows.union(t.select(*(F.col(c).cast("long") for c in t.columns)).mapInArrow(packer(kind), ROW))
     scored = rows.repartition(shards, "shard").sortWithinPartitions("kind").mapInArrow(score, ROW)
     return scored.repartition(shards, "batch").mapInArrow(add_up, "doc_id long, lang string, n_units long, perplexity double")
 
