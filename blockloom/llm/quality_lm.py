@@ -16,7 +16,8 @@ one sum a document, packed by batch; sums are added by batch. Log-probabilities
 order. The `TOP` most frequent trusted trigrams are scored where the text lies: they make up much of a text.
 
 The model learns from all labelled good documents except a fifth, chosen by hash; on that whole fifth each language's threshold
-is the given quantile of perplexity. Ids meet documents in shuffled semi joins, so neither side need fit in memory. A document is
+is the given quantile of perplexity. Ids meet documents in shuffled semi joins, so neither side need fit in memory; a bitmap of the
+ids' hashes, of bounded size, keeps most other texts out of that shuffle. A document is
 kept if it does not exceed the threshold of its language (of all languages together, if its own has none). Whole texts of all
 documents are scored.
 
@@ -45,6 +46,9 @@ BEGIN = UNITS - 1
 TOP = 1 << 18
 QUANTILE = 0.98
 UNIT = 4096
+#: Bits of the map of trusted ids (8 MB), in parts of MAP, which is what bitmap_construct_agg makes.
+BITS = 1 << 26
+MAP = 1 << 15
 
 
 def trigrams(path: str, text: str) -> np.ndarray:
@@ -120,6 +124,15 @@ def _kinds() -> list:
     return [F.sum("n").alias("n"), F.count_if(n == 1).alias("n1"), F.count_if(n == 2).alias("n2"), F.count_if(n > 2).alias("n3")]
 
 
+def possible(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is among ids, and some others, fewer the less ids there are to a bit; for the join that settles it."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS))
+    maps = ids.select(bit.alias("bit")).groupBy(F.expr(f"bit div {MAP}").alias("_part")).agg(F.expr(f"bitmap_construct_agg(bit % {MAP})").alias("_map"))
+    placed = df.withColumn("_bit", bit).join(F.broadcast(maps), F.expr(f"_bit div {MAP}") == F.col("_part"))
+    byte = F.expr(f"CAST(conv(hex(substring(_map, CAST(_bit % {MAP} div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    return placed.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(df.columns)
+
+
 def learn(trusted: DataFrame, path: str) -> tuple[Tables, Model]:
     """The tables and the model. The driver sees a row a unit, the histogram of counts, and the top trigrams."""
     counts = table(count_trigrams(trusted, path), "op7-counts")
@@ -320,8 +333,9 @@ def judge(df: DataFrame, labels: DataFrame, path: str | None = None, quantile: f
     path = path or vocabulary()
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = table(good.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("held")), "op7-trusted")
-    taught = good.where("NOT held").select("doc_id").hint("shuffle_hash")
-    tables, model = learn(df.join(taught, "doc_id", "left_semi"), path)
+    taught = good.where("NOT held").select("doc_id")
+    # ids are distinct; the optimiser would push a semi join below the bitmap
+    tables, model = learn(possible(df, taught).join(taught.hint("shuffle_hash"), "doc_id"), path)
     found = table(perplexities(df, tables, model, path, shards), "op7-perplexities")
     held = found.join(good.where("held").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     of = held.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))

@@ -342,6 +342,20 @@ def test_model_learns_from_all_good_documents(spark, documents, monkeypatch):
     assert all(r.threshold == r.perplexity and r.kept for r in got if r.doc_id in held and r.n_units)
 
 
+def test_other_texts_stay_out_of_the_shuffle(spark, documents, monkeypatch):
+    """Few texts but the trusted ones travel to the ids: what the exchange takes in has passed the bitmap."""
+    rows = [(i, t, "en") for i, (_, t) in enumerate(documents[:100])] + [(3, "again", "de"), (None, "no id", "en")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    found = quality_lm.possible(frame, spark.range(0, 200, 7).withColumnRenamed("id", "doc_id"))
+    assert found.columns == frame.columns and sorted(r.doc_id for r in found.collect()) == list(range(0, 100, 7))
+    assert quality_lm.possible(frame, spark.range(4).selectExpr("id AS doc_id")).where("doc_id = 3").count() == 2
+    plans, learn = [], quality_lm.learn
+    monkeypatch.setattr(quality_lm, "learn", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or learn(df, path))
+    labels = spark.range(0, 200, 7).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    quality_lm.judge(frame, labels).collect()
+    assert re.search(r"Exchange hashpartitioning\((cast\()?doc_id[^\n]*\n([^\n]*Project[^\n]*\n)?[^\n]*BroadcastHashJoin[^\n]*_map", plans[0])
+
+
 def test_model_separates(spark, sf_dir):
     got = quality_lm.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     share = {(r.quality, r.toxic): r.k for r in got.groupBy("quality", "toxic").agg({"kept": "count"}).selectExpr("quality", "toxic", "`count(kept)` AS k").collect()}
