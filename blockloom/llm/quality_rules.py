@@ -41,18 +41,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def grams(w: Column, buckets: int, order: int) -> Column:
-    """The classes of the words and, at order 2, of the pairs of neighbouring words."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(w: Column, order: int) -> Column:
+    """The hashes of the words and, at order 2, of the pairs of neighbouring words; their classes are taken from rows, in generated code."""
+    one = hashes(w)
     if order == 1:
         return one
-    two = F.transform(w, lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(buckets)))
+    two = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
     return F.concat(one, F.slice(two, 1, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
 def repeat_words(w: Column) -> Column:
     """How many words stand in a three-word window that occurs twice or more."""
-    grams = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    # each word is hashed once, a window from its words' hashes
+    windows = let(hashes(w), lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0))))
 
     def covered(s: Column) -> Column:
         """s: (window, place), sorted."""
@@ -64,7 +69,7 @@ def repeat_words(w: Column) -> Column:
         placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(let(placed, covered))
 
-    return let(grams, counted).cast("long")
+    return let(windows, counted).cast("long")
 
 
 def base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,8 +99,8 @@ def ratios(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: fl
     flag = F.broadcast(trusted.select(F.col("doc_id").alias("doc_id"), F.lit(1).alias("good")))
     counts = (
         df.select("doc_id", "text").join(flag, "doc_id", "left")
-        .select("good", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets, order))).alias("bucket"))
-        .groupBy("bucket")
+        .select("good", F.explode(let(words(F.col("text")), lambda w: grams(w, order))).alias("gram"))
+        .groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     )
     counts = table(counts, "op6-counts")
@@ -112,7 +117,7 @@ def judge(df: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, pseudo: flo
     llr = ratios(df, trusted, buckets, pseudo, order)
     rows = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"))  # before the n-grams are rows: once a text
-    one = hashed.select("doc_id", "tag", F.explode(let(words(F.col("text")), lambda w: grams(w, buckets, order))).alias("bucket"))
+    one = hashed.select("doc_id", "tag", F.explode(let(words(F.col("text")), lambda w: grams(w, order))).alias("gram")).select("doc_id", "tag", F.pmod("gram", F.lit(buckets)).alias("bucket"))
     sums = one.join(F.broadcast(llr), "bucket").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg((F.sum("llr") / F.count(F.lit(1)) / F.lit(float(UNIT))).alias("score"))
     rows = base(df)
     rows = rows.join(sums, rows["doc_id"].eqNullSafe(sums["_id"]) & (rows["tag"] == sums["_tag"]), "left")

@@ -273,6 +273,15 @@ def test_rules_edges_and_native_plan(spark, nasty, empty, labels):
     assert quality_rules.judge(nasty, quality_rules.trusted_ids(labels.where("false"))).where("NOT base_failed AND NOT kept").count() == 0
 
 
+def test_classes_are_taken_in_generated_code(spark, nasty, labels):
+    """Lambdas are interpreted: they only hash, each word once for all its windows."""
+    plan = quality_rules.judge(nasty, quality_rules.trusted_ids(labels), order=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and not re.search(r"pmod\(xxhash64\(lambda", plan)
+    frame = spark.createDataFrame([("a b c a b c d".split(),)], "w array<string>")
+    windows = frame.select(quality_rules.repeat_words(frame["w"]).alias("n"))
+    assert windows.first().n == 6 and windows._jdf.queryExecution().analyzed().toString().count("xxhash64(lambda x") >= 2
+
+
 # 7: model
 
 
