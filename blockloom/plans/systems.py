@@ -252,8 +252,7 @@ def journal_files(s, d):
 
 def config_documents(s, d):
     path = scratch(s, "config")
-    entries = b.volumes(s, d).groupBy((F.col("size_gib") % 4).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("volume", F.struct("block_size", "size_gib")))).alias("vdisk"))
-    entries.select(F.to_json(F.struct("vdisk")).alias("value")).repartition(4).write.text(path)
+    files.write_config(b.volumes(s, d).select(F.col("volume").alias("id"), "block_size", "size_gib"), path, "vdisk", 10_000)
     return files.source("config")(s, path, "vdisk", "block_size: bigint, size_gib: int")
 
 

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.store import is_zero
@@ -96,9 +96,38 @@ def last_sequence(journal: DataFrame) -> DataFrame:
     return journal.groupBy("volume").agg(F.max("seq").alias("last_seq"))
 
 
+def write_config(entries: DataFrame, path: str, kind: str, most: int = 10_000) -> None:
+    """JSON documents {kind: {id: {...}}} of rows with an `id`, each a file of its own, of about `most` entries: documents grow in number, not in length.
+
+    An id that several rows have is in as many documents.
+    """
+    n = entries.count() // most + 1
+    copy = F.row_number().over(Window.partitionBy("id").orderBy(*entries.drop("id").columns))
+    held = F.struct(F.lit(n).alias("n"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"), copy.alias("copy"))
+    made = entries.withColumn("_at", held).groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct(*entries.drop("id").columns)))).alias(kind))
+    made.select(F.to_json(F.struct(kind)).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def read_config(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
-    """Entries of one kind from JSON documents {kind: {id: {...}}}: the id as `id`, then the schema's columns."""
-    text = spark.read.text(path, wholetext=True)
+    """Entries of one kind from JSON documents {kind: {id: {...}}}: the id as `id`, then the schema's columns. A file may hold several documents, one behind the other."""
+
+    @F.pandas_udf("array<string>")
+    def documents(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> list[str]:
+            found, decoder, gap = [], json.JSONDecoder(), json.decoder.WHITESPACE
+            at = gap.match(text, 0).end()
+            while at < len(text):
+                try:
+                    end = decoder.raw_decode(text, at)[1]
+                except ValueError:  # not strict JSON: Spark's parser has the rest
+                    end = len(text)
+                found.append(text[at:end])
+                at = gap.match(text, end).end()
+            return found
+
+        return texts.map(of)
+
+    text = spark.read.text(path, wholetext=True).select(F.explode(documents("value")).alias("value"))
     entries = text.select(F.explode(F.from_json("value", f"{kind} map<string, struct<{schema}>>")[kind]).alias("id", "v"))
     return entries.select("id", "v.*")
 

@@ -154,6 +154,17 @@ def test_config_documents(spark, tmp_path):
     assert {(r.id, r.size) for r in volumes.read_config(spark, str(tmp_path / "c.json"), "vdisk", "size: int").collect()} == {("a", 3), ("b", 4)}
 
 
+def test_config_documents_are_whole(spark, tmp_path):
+    """Documents that share a file are all read; those written are one a file, of bounded length, and lose no entry of an id that comes twice."""
+    (tmp_path / "two.json").write_text('\n{"vdisk": {"a": {"size": 3}}}\n' + volumes.config_document("vdisk", {"b": {"size": 4}}) + "\n{'vdisk': {'c': {'size': 5}}}")
+    assert sorted(map(tuple, volumes.read_config(spark, str(tmp_path / "two.json"), "vdisk", "size: int").collect())) == [("a", 3), ("b", 4), ("c", 5)]
+    rows = spark.range(500).select(F.concat(F.lit("v"), (F.col("id") % 400).cast("string")).alias("id"), F.col("id").cast("int").alias("size"))
+    volumes.write_config(rows, str(tmp_path / "many"), "vdisk", 50)
+    found = [x.read_text() for x in (tmp_path / "many").glob("part-*")]
+    assert len(found) > 10 and all(x.count("vdisk") == 1 and x.count("size") < 100 for x in found)
+    assert sorted(map(tuple, volumes.read_config(spark, str(tmp_path / "many"), "vdisk", "size: int").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_partial_writes(spark):
     r = spark.createDataFrame([(bytearray(b"ab"), None)], "c binary, n binary").select(
         addressing.merge_write(F.col("c"), F.lit(b"xy"), F.lit(3), 6).alias("w"), addressing.merge_write(F.col("n"), F.lit(b"xy"), F.lit(0), 4).alias("e"),
