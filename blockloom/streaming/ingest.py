@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,13 +16,16 @@ from ..schemas import SEGMENT, SET
 
 ROW = "volume string, seq bigint, block_index bigint, op int, ts bigint, data string"
 COLUMNS = ("volume", "seq", "block_index", "op", "ts", "data")
+#: Rows that a task gives away at once, and sequence numbers that are judged by one.
+PIECE, CHUNK = 10_000, 1 << 16
 
 
 def ordered(stream: DataFrame, most_waiting: int = 100_000, after: DataFrame | None = None) -> DataFrame:
     """Each volume's rows in exactly sequence order, each once, from 1, or behind the last flushed one (volume, seq) of `after`.
 
     A row that comes twice, or late, is dropped. A row that comes early waits in state until those before it have come (a receiver
-    with a resending client would drop it instead; a stream can't ask again). More than most_waiting waiting rows fail the query.
+    with a resending client would drop it instead; a stream can't ask again). More than most_waiting waiting rows fail the query: a
+    volume's waiting rows are one task's memory. `ordered_sink` has them on disk, for rows that come in no order at all.
     """
     rows = stream.select(*COLUMNS)
     if after is None:
@@ -38,17 +41,20 @@ def ordered(stream: DataFrame, most_waiting: int = 100_000, after: DataFrame | N
             for row in part[list(COLUMNS[1:])].itertuples(index=False):
                 if row[0] >= expected:
                     waiting.setdefault(int(row[0]), tuple(row[1:]))
-        out = []
-        while expected in waiting:
-            out.append((key[0], expected, *waiting.pop(expected)))
-            expected += 1
+            out = []
+            while expected in waiting:
+                out.append((key[0], expected, *waiting.pop(expected)))
+                expected += 1
+                if len(out) == PIECE:
+                    yield pd.DataFrame(out, columns=list(COLUMNS))
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=list(COLUMNS))
         if len(waiting) > most_waiting:
             raise RuntimeError(f"{len(waiting)} rows of {key[0]} wait for {expected}")
         rest = sorted(waiting)
         columns = [[waiting[s][i] for s in rest] for i in range(4)]
         state.update((expected, rest, *([None if pd.isna(x) else (int(x) if i < 3 else x) for x in c] for i, c in enumerate(columns))))
-        if out:
-            yield pd.DataFrame(out, columns=list(COLUMNS))
 
     held = "expected bigint, seqs array<bigint>, idx array<bigint>, ops array<bigint>, tss array<bigint>, datas array<string>"
     return rows.groupBy("volume").applyInPandasWithState(step, ROW, held, "append", GroupStateTimeout.NoTimeout)
@@ -95,13 +101,91 @@ def segment_sink(path: str, size: int = SEGMENT) -> Callable[[DataFrame, int], N
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers n of the complete tables path/n, ascending."""
+    """The numbers n of the complete tables path/n or path/batch=n, ascending."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         return []
     names = [x.getPath() for x in fs.listStatus(fs_path)]
-    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    number = {p: p.getName().removeprefix("batch=") for p in names}
+    return sorted(int(n) for p, n in number.items() if n.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+HEADS = "volume string, expected bigint"
+
+
+def _with_head(rows: DataFrame, heads: DataFrame, name: str, otherwise: int) -> DataFrame:
+    at = heads.select(F.col("volume").alias("_volume"), F.col("expected").alias(name))
+    return rows.join(at, F.col("volume").eqNullSafe(F.col("_volume")), "left").drop("_volume").withColumn(name, F.coalesce(name, F.lit(otherwise).cast("bigint")))
+
+
+def _reached(rows: DataFrame, chunk: int) -> DataFrame:
+    """(volume, reach) of rows with volume, part (seq div chunk), seq and expected, none behind what is expected: the first number that is missing.
+
+    Chunks of numbers are judged side by side; then a short pass over a volume's chunks, one row each, links those that are whole.
+    """
+    start = F.greatest("expected", F.col("part") * chunk)
+    seen = rows.select("volume", "part", "expected", "seq").repartition("volume", "part").groupBy("volume", "part", "expected", "seq").agg(F.lit(1).alias("_one"))
+    at = seen.withColumn("n", F.row_number().over(Window.partitionBy("volume", "part").orderBy("seq")))
+    ends = at.groupBy("volume", "part", "expected").agg(F.count_if(F.col("seq") - start == F.col("n") - 1).alias("run")).withColumn("end", start + F.col("run"))
+    w = Window.partitionBy("volume").orderBy("part")
+    linked = F.col("part") - F.expr(f"expected div {chunk}") == F.row_number().over(w) - 1
+    ends = ends.withColumn("linked", linked).withColumn("whole", F.col("linked") & (F.col("end") == (F.col("part") + 1) * chunk))
+    so_far = F.coalesce(F.min("whole").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    ends = ends.withColumn("so_far", so_far)
+    return ends.groupBy("volume").agg(F.coalesce(F.max(F.when(F.col("linked") & F.col("so_far"), F.col("end"))), F.max("expected")).alias("reach"))
+
+
+def ordered_sink(path: str, after: DataFrame | None = None, chunk: int = CHUNK) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that does what `ordered` does, with early rows waiting in tables: any number, in no order, in bounded memory.
+
+    A batch takes the rows that wait and its own, drops what is behind or comes twice (what came first stays), finds how far each
+    volume's numbers go without a gap, and writes the rows once, those up to there as released, sorted by volume and seq within
+    files. It starts from what the batch before left and runs its source twice; a batch that runs again replaces what it wrote.
+    """
+    if after is not None:
+        after.groupBy("volume").agg((F.max("seq") + 1).alias("expected")).write.mode("overwrite").parquet(f"{path}/start")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        past = [n for n in _versions(spark, f"{path}/rows") if n < number]
+        sent = batch.select(*COLUMNS, F.lit(1).alias("fresh"))
+        if past:
+            heads = spark.read.schema(HEADS).parquet(f"{path}/heads/{past[-1]}")
+            sent = sent.union(_arrived(spark, path, past[-1:]).where("NOT released").select(*COLUMNS, F.lit(0)))
+        elif after is not None:
+            heads = spark.read.schema(HEADS).parquet(f"{path}/start")
+        else:
+            heads = spark.createDataFrame([], HEADS)
+        kept = _with_head(sent, heads, "expected", 1).where("seq >= expected").withColumn("part", F.expr(f"seq div {chunk}"))
+        moved = _reached(kept, chunk).withColumnRenamed("volume", "_moved")
+        heads = heads.join(moved, F.col("volume").eqNullSafe(F.col("_moved")), "full")
+        heads = heads.select(F.coalesce("volume", "_moved").alias("volume"), F.coalesce("reach", "expected").alias("expected"))
+        heads.write.mode("overwrite").parquet(f"{path}/heads/{number}")
+        first = F.min_by(F.struct(*COLUMNS[2:]), "fresh").alias("v")
+        rows = kept.repartition("volume", "part").groupBy("volume", "part", "seq").agg(first).select("volume", "seq", "v.*")
+        rows = _with_head(rows, spark.read.schema(HEADS).parquet(f"{path}/heads/{number}"), "reach", 0).withColumn("released", F.col("seq") < F.col("reach"))
+        rows.select(*COLUMNS, "released").sortWithinPartitions("released", "volume", "seq").write.mode("overwrite").partitionBy("released").parquet(f"{path}/rows/batch={number}")
+        for n in past[:-1]:  # if this batch runs again it needs the last one's
+            _delete(spark, f"{path}/rows/batch={n}/released=false")
+
+    return write
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _arrived(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    held = f"{ROW}, batch bigint, released boolean"
+    rows = spark.read.schema(held).option("basePath", f"{path}/rows")
+    return rows.parquet(*(f"{path}/rows/batch={n}" for n in numbers)) if numbers else spark.createDataFrame([], held)
+
+
+def ordered_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `ordered_sink` has released so far."""
+    return _arrived(spark, path, _versions(spark, f"{path}/rows")).where("released").select(*COLUMNS)
 
 
 VERSION = "volume string, block_index bigint, op int, data string, seq bigint"

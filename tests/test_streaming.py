@@ -36,6 +36,37 @@ def test_ordered_ingestion_and_segments(spark, tmp_path):
     assert {(r.segment_no, r.n) for r in want.collect()} == {(r.segment_no, r["count"]) for r in got.where("volume = 'a'").groupBy("segment_no").count().collect()}
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 7])
+def test_ordered_rows_wait_on_disk(spark, tmp_path, chunk):
+    """More rows wait than any task holds; gaps, repeats, late rows, a volume that had rows flushed, and a batch that runs again."""
+    out, rows = str(tmp_path / "out"), rows_of(60) + [(None, s, 1, 1, s, None) for s in (1, 2)]
+    after = spark.createDataFrame([("a", 20), ("c", 5)], "volume string, seq bigint")
+    sink = ingest.ordered_sink(out, after, chunk)
+
+    def send(number, wanted):
+        sink(spark.createDataFrame([r for r in rows if wanted(r)] * 2, ingest.ROW).repartition(3), number)
+        return {v: sorted(r.seq for r in ingest.ordered_rows(spark, out).collect() if r.volume == v) for v in (None, "a", "b")}
+
+    assert send(0, lambda r: r[1] % 2 == 0) == {None: [], "a": [], "b": []}
+    for _ in range(2):
+        assert send(1, lambda r: r[1] % 4 == 1 or r[1] == 3) == {None: [1, 2], "a": [21, 22], "b": [*range(1, 7)]}
+    assert send(2, lambda r: r[1] == 23 or r[1] < 9) == {None: [1, 2], "a": [*range(21, 27)], "b": [*range(1, 11)]}
+    assert send(3, lambda r: False)["b"] == [*range(1, 11)]
+    assert send(4, lambda r: True) == {None: [1, 2], "a": [*range(21, 61)], "b": [*range(1, 61)]}
+    assert sorted(map(repr, map(tuple, ingest.ordered_rows(spark, out).collect()))) == sorted(repr(r) for r in rows if r[0] != "a" or r[1] > 20)
+    assert not list(tmp_path.glob("out/rows/batch=[012]/released=false"))
+
+
+def test_ordered_rows_by_the_million(spark, tmp_path):
+    """As many rows wait for the first one as the queries' bound used to allow, and one more."""
+    rows = spark.range(1, 1_000_003).select(F.lit("v").alias("volume"), F.col("id").alias("seq"), F.lit(1).cast("bigint").alias("block_index"), F.lit(1).alias("op"), "id", F.lit(None).cast("string").alias("data")).withColumnRenamed("id", "ts")
+    sink = ingest.ordered_sink(str(tmp_path))
+    sink(rows.where("seq > 1"), 0)
+    assert ingest.ordered_rows(spark, str(tmp_path)).isEmpty()
+    sink(rows.where("seq = 1"), 1)
+    assert ingest.ordered_rows(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("seq"), F.max("seq")).first()[:] == (1_000_002,) * 3
+
+
 def test_replica_follows(spark, tmp_path):
     rows = rows_of(60)
     out = str(tmp_path / "replica")
