@@ -220,9 +220,8 @@ def _sent(s, d):
 
 
 def stream_ordered(s, d):
-    rows = _sent(s, d)
-    out = _run(s, ingest.ordered(_files(s, rows, 4, "stream"), 1_000_000), "ordered")
-    return s.read.parquet(out).select("volume", "seq", "block_index", "op", "data")
+    out = _run(s, _files(s, _sent(s, d), 4, "stream"), "ordered", ingest.ordered_sink)
+    return ingest.ordered_rows(s, out).select("volume", "seq", "block_index", "op", "data")
 
 
 def stream_resumed(s, d):
