@@ -1,8 +1,11 @@
 """Literal fixtures, round trips and properties of the operators."""
 
 import hashlib
+import lzma
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -271,6 +274,26 @@ def test_shards_with_few_servers_alive(spark):
     assert {r.s for r in spark.range(500).select(sharding.shard_by_index(F.col("id"), alive).alias("s")).collect()} == {41}
 
 
+def test_codecs_hold_a_slice_of_a_batch_in_python(spark):
+    content = pa.array([None, b"", *(bytes([i % 251]) * 2000 for i in range(10_000))])
+    tracemalloc.start()
+    try:
+        there = codecs._mapped(bytes)(content)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert there.equals(content) and peak < content.nbytes / 10
+    rows = spark.createDataFrame([(1, bytearray(b"abc" * 999)), (2, bytearray()), (3, None)], "i int, c binary")
+    for there, back in codecs.COMPRESSIONS.values():
+        assert [tuple(r) for r in rows.select("i", back(there(F.col("c"))).alias("c")).orderBy("i").collect()] == [(1, b"abc" * 999), (2, b""), (3, None)]
+
+
+def test_xz_sets_up_no_more_than_the_content_needs(spark):
+    content = bytes(range(256)) * 40
+    z = bytes(spark.range(1).select(codecs.xz_compress(F.lit(content)).alias("z")).first().z)
+    assert lzma.LZMADecompressor(memlimit=1 << 20).decompress(z) == content and len(z) <= len(lzma.compress(content))
+
+
 def test_erasure_codes():
     rng = random.Random(6)
     for k, m in ((1, 1), (4, 2), (16, 4), (3, 5)):
