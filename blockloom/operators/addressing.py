@@ -15,6 +15,22 @@ def split_requests(requests: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("block_offset", start - F.col("block_index") * size).withColumn("piece_length", end - start)
 
 
+#: Blocks that one task's ranges are cut by.
+RANGE = 1 << 12
+
+
+def ranged_pieces(requests: DataFrame, size: int) -> DataFrame:
+    """`split_requests` with the pieces of a range of RANGE blocks (block_range) in one task: only offsets and lengths travel, and requests that reach over a border.
+
+    An aggregation by block_range and block_index needs no further shuffle, and no table of a map task's blocks: where requests come in no order, that one has an entry for each piece.
+    """
+    border = size * RANGE
+    rows = requests.where("length > 0").select("offset", "length").withColumn("block_range", F.explode(F.sequence(F.expr(f"offset div {border}"), F.expr(f"(offset + length - 1) div {border}"))))
+    start = F.greatest(F.col("offset"), F.col("block_range") * border)
+    part = rows.select("block_range", start.alias("offset"), (F.least(F.col("offset") + F.col("length"), (F.col("block_range") + 1) * border) - start).alias("length"))
+    return split_requests(part.repartition("block_range"), size)
+
+
 #: What a client may ask for (fixed values): reads and writes touch blocks; trim and flush are accepted without an effect on them.
 COMMANDS = ("read", "write", "disconnect", "flush", "trim", "write_zeroes")
 

@@ -123,8 +123,8 @@ def import_extent(s, d):
 
 
 def split_requests(s, d):
-    made = addressing.split_requests(b.requests(s, d), 4096)
-    return made.groupBy("block_index").agg(F.count("*").alias("n"), F.sum("piece_length").alias("total"), F.min("block_offset").alias("least_offset"))
+    made = addressing.ranged_pieces(b.requests(s, d), 4096)
+    return made.groupBy("block_range", "block_index").agg(F.count("*").alias("n"), F.sum("piece_length").alias("total"), F.min("block_offset").alias("least_offset")).drop("block_range")
 
 
 def request_violations(s, d):

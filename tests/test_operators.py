@@ -176,6 +176,17 @@ def test_partial_writes(spark):
     assert (bytes(r.w), bytes(r.e), bytes(r.z), r.zn, bytes(r.r)) == (b"ab\0xy\0", b"xy\0\0", b"a\0\0\0", None, b"b\0\0")
 
 
+def test_pieces_by_ranges_of_blocks(spark):
+    """The same pieces; they are made behind the shuffle, where blocks are counted without another."""
+    n = addressing.RANGE * 8
+    rows = spark.createDataFrame([(0, 1), (n - 3, 9), (n * 2 - 1, n * 3), (n, 0), (n * 7, 8), (None, 4)], "offset bigint, length bigint")
+    names = ("block_index", "block_offset", "piece_length")
+    made = addressing.ranged_pieces(rows, 8)
+    assert sorted(map(tuple, made.select(*names).collect())) == sorted(map(tuple, addressing.split_requests(rows, 8).select(*names).collect()))
+    plan = made.groupBy("block_range", "block_index").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
 def test_zipped_clusters(spark):
     a = spark.createDataFrame([(0, "a", 0), (1, "b", 0)], "server_index int, address string, db int")
     assert {(r.address, r.target_address) for r in cluster.zipped(a, a).collect()} == {("a", "a"), ("b", "b")}
