@@ -228,9 +228,8 @@ def record_files(s, d):
 def image_files(s, d):
     """Every text of a multiple of five as an image file of its own, read in blocks of 512 bytes."""
     path = scratch(s, "images")
-    rows = b.read(s, d, "documents").where("doc_id % 5 = 0 AND text <> ''")
-    rows.select(F.col("doc_id").cast("string").alias("name"), "text").repartition(4).write.partitionBy("name").option("lineSep", "\0").text(path)
-    blocks = files.source("image")(s, f"{path}/name=*", 512)
+    files.write_images(b.read(s, d, "documents").where("doc_id % 5 = 0 AND text <> ''").select("text"), path)
+    blocks = files.source("image")(s, path, 512)
     return blocks.groupBy("block_index").agg(F.count("*").alias("n"))
 
 

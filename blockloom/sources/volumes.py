@@ -25,12 +25,22 @@ def read_image(spark: SparkSession, path: str, size: int, whole: int = 1 << 30)
     numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("length", F.lit(1)) - 1) / size))
     cut = F.transform(numbers, lambda i: F.struct(i.alias("block_index"), F.substring("content", (i * size + 1).cast("int"), F.lit(size)).alias("content")))
     rows = files.where(F.col("length") <= whole).select(volume, F.explode(cut).alias("b")).select("volume", "b.block_index", "b.content")
-    for file in files.where(F.col("length") > whole).select("path", volume).collect():  # names only
+    for file in files.where(F.col("_metadata.file_size") > whole).select("path", volume).collect():  # names only; the listing has the sizes, no file is opened for them
         records = spark.sparkContext.binaryRecords(file.path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
         rows = rows.union(spark.createDataFrame(records, "block_index bigint, content binary").select(F.lit(file.volume).alias("volume"), "block_index", "content"))
     return rows.where(~is_zero(F.col("content")))
 
 
+def write_images(texts: DataFrame, path: str, most: int = 1000) -> None:
+    """Every text (one column) as an image file of its own, with a zero byte behind it, in folders of about `most` files.
+
+    A folder is one task's, so a commit moves folders, not files, and listings are shared by folder.
+    """
+    n = texts.count() // most + 1
+    rows = texts.withColumn("folder", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    rows.repartition("folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
+
+
 def write_records(blocks: DataFrame, path: str) -> None:
     """Gzip files of records as test images have them: the index as decimal digits, zero-padded to 8, then the content. A file a partition."""
 

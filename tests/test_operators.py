@@ -168,6 +168,16 @@ def test_config_documents_are_whole(spark, tmp_path):
     assert sorted(map(tuple, volumes.read_config(spark, str(tmp_path / "many"), "vdisk", "size: int").collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_image_files_share_folders(spark, tmp_path):
+    """A file a text, in folders for many files each."""
+    volumes.write_images(spark.range(2500).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")), str(tmp_path / "images"), 1000)
+    folders = [x for x in (tmp_path / "images").iterdir() if x.is_dir()]
+    found = [x.read_bytes() for f in folders for x in f.glob("part-*")]
+    assert len(folders) == 3 and sorted(found) == sorted(f"text {i}\0".encode() for i in range(2500))
+    rows = volumes.read_image(spark, str(tmp_path / "images"), 4).where("block_index = 1")
+    assert sorted(bytes(r.content).strip(b"\0") for r in rows.collect()) == sorted(f" {i}"[:4].encode() for i in range(2500))
+
+
 def test_partial_writes(spark):
     r = spark.createDataFrame([(bytearray(b"ab"), None)], "c binary, n binary").select(
         addressing.merge_write(F.col("c"), F.lit(b"xy"), F.lit(3), 6).alias("w"), addressing.merge_write(F.col("n"), F.lit(b"xy"), F.lit(0), 4).alias("e"),
