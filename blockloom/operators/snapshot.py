@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import blake2b_256, snapshot_key
+from ..sources.shared import table
 from .rechunk import deflate, rechunk
 
 
 def export(blocks: DataFrame, source_size: int, block_size: int, known: DataFrame | None = None, key: bytes | None = None, compression: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(map, new contents) of a volume at the snapshot's block size: map has block_index and hash; contents not in `known` come once."""
+    """(map, new contents) of a volume at the snapshot's block size: map has block_index and hash; contents not in `known` come once, by ranges of the hash.
+
+    The hashed blocks are written once, for both. Contents travel once: known hashes come to the same ranges as rows without a content.
+    """
     digest = blake2b_256(snapshot_key(key, compression))
-    hashed = rechunk(blocks, source_size, block_size).withColumn("hash", digest("content"))
-    fresh = hashed.select("hash", "content").dropDuplicates(["hash"])
+    hashed = table(rechunk(blocks, source_size, block_size).withColumn("hash", digest("content")), "hashed", "zstd")
+    rows = hashed.select("hash", "content", F.lit(False).alias("known"))
     if known is not None:
-        fresh = fresh.join(known.select("hash"), "hash", "left_anti")
-    return hashed.select("block_index", "hash"), fresh
+        rows = rows.union(known.select("hash", F.lit(None).cast("binary"), F.lit(True)))
+    once = rows.repartitionByRange("hash").groupBy("hash").agg(F.first("content", ignorenulls=True).alias("content"), F.max("known").alias("known"))
+    return hashed.select("block_index", "hash"), once.where("NOT known").select("hash", "content")
 
 
 def restore(map_: DataFrame, contents: DataFrame, block_size: int, target_size: int, key: bytes | None = None, compression: int = 0) -> DataFrame:
@@ -98,8 +103,8 @@ def header_choice(exists: Column, readable: Column, have: Column, want: Column,
 
 
 def write(root: str, snapshot: str, map_: DataFrame, contents: DataFrame) -> None:
-    """Contents are appended once, in files sorted by ranges of the hash, so that reads by hash skip row groups; the map replaces the snapshot's own."""
-    contents.repartitionByRange("hash").sortWithinPartitions("hash").write.mode("append").parquet(f"{root}/content")
+    """Contents, as `export` gives them by ranges of the hash, are appended once, in sorted files, so that reads by hash skip row groups; the map replaces the snapshot's own."""
+    contents.sortWithinPartitions("hash").write.mode("append").parquet(f"{root}/content", compression="zstd")
     map_.write.mode("overwrite").parquet(f"{root}/map/snapshot={snapshot}")
 
 

@@ -133,6 +133,18 @@ def test_snapshot_round_trip(spark, tmp_path):
         snapshot.fits(rows, 8, 8, 8).collect()
 
 
+def test_contents_of_an_export_travel_once(spark, tmp_path):
+    """Blocks are put together once for map and contents; known contents and copies go where rows are dealt by ranges of the hash."""
+    rows = spark.range(400).select(F.col("id").alias("block_index"), F.concat(F.lit("c"), (F.col("id") % 90).cast("string")).cast("binary").alias("content"))
+    _, before = snapshot.export(rows.where("block_index < 40"), 8, 8)
+    snapshot.write(str(tmp_path), "one", *snapshot.export(rows.where("block_index < 40"), 8, 8))
+    map_, fresh = snapshot.export(rows, 8, 8, snapshot.read(spark, str(tmp_path), "one")[1])
+    for part in (map_, fresh):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == plan.count("Exchange rangepartitioning") == (part is fresh) and "Python" not in plan
+    assert before.count() == 40 and sorted(bytes(r.content) for r in fresh.collect()) == sorted(f"c{i}".encode() for i in range(40, 90)) and map_.count() == 400
+
+
 def test_blocks_and_journal_on_disk(spark, tmp_path):
     image = tmp_path / "disk.img"
     image.write_bytes(b"ab" + bytes(4) + b"cde")
